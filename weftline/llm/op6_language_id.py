@@ -108,8 +108,8 @@ def prototypes(docs: DataFrame, text_col: str = "text", lang_col: str = "lang")
     return langs, table / np.maximum(np.linalg.norm(table, axis=1, keepdims=True), 1e-12)
 
 
-def identify(docs: DataFrame, model: tuple[list[str], np.ndarray], text_col: str = "text", lang_out: str = "lang_pred", score_out: str = "score") -> DataFrame:
-    """``docs`` with the predicted language and its cosine; a narrow pass, no shuffle."""
+def identify(docs: DataFrame, model: tuple[list[str], np.ndarray], text_col: str = "text", out: str = "language") -> DataFrame:
+    """``docs`` plus ``out``: struct<lang, score>.  Only texts go to the workers; no shuffle."""
     langs, protos = model[0], model[1].astype(np.float32)
 
     def predict(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
@@ -129,14 +129,15 @@ def identify(docs: DataFrame, model: tuple[list[str], np.ndarray], text_col: str
             best[row[i]], score[row[i]] = langs[k], min(1.0, max(0.0, float(cos[k])))
         return best, score
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            for part in _chunks(b, text_col):
-                lang, score = predict([t if isinstance(t, str) else None for t in part[text_col]])
-                yield part.assign(**{lang_out: lang, score_out: score})
+    @F.pandas_udf("lang string, score double")
+    def language(texts: pd.Series) -> pd.DataFrame:
+        lang, score = np.full(len(texts), "und", object), np.zeros(len(texts))
+        for part in _chunks(pd.DataFrame({"t": texts.to_numpy(object)}), "t"):
+            at = part.index.to_numpy()
+            lang[at], score[at] = predict([t if isinstance(t, str) else None for t in part["t"]])
+        return pd.DataFrame({"lang": lang, "score": score})
 
-    names = [f"`{c}` {k}" for c, k in docs.dtypes if c not in (lang_out, score_out)]
-    return docs.drop(lang_out, score_out).mapInPandas(run, ", ".join([*names, f"`{lang_out}` string", f"`{score_out}` double"]))
+    return docs.withColumn(out, language(F.col(text_col)))
 
 
 def training_rows(docs: DataFrame, id_col: str = "doc_id") -> DataFrame:

@@ -2,40 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession
-
-Query = Callable[[SparkSession, str], DataFrame]
-CATALOG: dict[str, tuple[Query, str | None]] = {}
-
-
-def register(name: str, sql: str | None = None) -> Callable[[Query], Query]:
-    def add(query: Query) -> Query:
-        CATALOG[name] = (query, sql)
-        return query
-
-    return add
-
-
-@register(
-    "audit_tool_stats",
-    """
-    SELECT event_type AS tool, count(*)::BIGINT AS calls, (count(*) FILTER (event_type = 'error'))::BIGINT AS errors,
-           quantile_disc(value, 0.5) AS p50, CASE WHEN count(value) >= 20 THEN quantile_disc(value, 0.95) END AS p95
-    FROM events GROUP BY 1""",
-)
-def audit_tool_stats(spark: SparkSession, sf: str) -> DataFrame:
-    from pyspark.sql import functions as F
-
-    events = spark.read.parquet(f"{sf}/events.parquet")
-    pct = lambda p: F.expr(f"percentile_disc({p}) WITHIN GROUP (ORDER BY value)")
-    return events.groupBy(F.col("event_type").alias("tool")).agg(
-        F.count(F.lit(1)).alias("calls"),
-        F.count_if(F.col("event_type") == "error").alias("errors"),
-        pct(0.5).alias("p50"),
-        F.when(F.count("value") >= 20, pct(0.95)).alias("p95"),
-    )
+from weftline.queries import audit, docs, flow, graph, scalars, wire  # noqa: F401  (they register themselves)
+from weftline.queries.registry import CATALOG, Query
 
 
 def queries() -> dict[str, Query]:

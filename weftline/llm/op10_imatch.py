@@ -41,7 +41,7 @@ def _terms(text: Column) -> Column:
 
 def lexicon(docs: DataFrame, text_col: str = "text", low: float = LOW_SHARE, high: float = HIGH_SHARE) -> DataFrame:
     """term: hashes of the band's terms.  Two documents at least must share a term."""
-    terms = docs.select(F.explode(_terms(F.coalesce(F.col(text_col), F.lit("")))).alias("term"))
+    terms = docs.select(F.explode_outer(_terms(F.coalesce(F.col(text_col), F.lit("")))).alias("term")).where("term is not null")
     total = docs.agg(F.count(F.lit(1)).alias("n")).scalar()
     df = terms.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     return df.where((F.col("df") >= F.greatest(F.lit(2.0), total * low)) & (F.col("df") <= F.greatest(F.lit(2.0), total * high))).select("term")

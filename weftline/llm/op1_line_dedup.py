@@ -33,7 +33,7 @@ def boilerplate(docs: DataFrame, min_sites: int = MIN_SITES, min_chars: int = MI
     lines = docs.where(F.col(text_col).isNotNull()).select(
         F.col(id_col).alias("w_id"),
         F.coalesce(F.concat(F.lit("="), F.col(site_col).cast("string")), F.lit("")).alias("w_site"),
-        F.explode(F.split(text_col, "\n")).alias("w_line"),
+        F.explode_outer(F.split(text_col, "\n")).alias("w_line"),
     )
     seen = materialize(lines.select("w_id", "w_site", line_key(F.col("w_line"), min_chars).alias("w_key")).where("w_key is not null"), "lines")
     spread = (

@@ -12,9 +12,10 @@ So a re-parameterised question is found, and a text that only shares sentence pa
 
 Windows with fewer than ``MIN_WORDS`` words besides placeholders are dropped on the benchmark side.
 
-Scale: the document side is never shuffled for the join while the benchmark has at most
-``BROADCAST_WINDOWS`` windows (counted first; beyond it the join is left to the planner); window
-hashes are built by doubling (1, 2, 4, 5 tokens), so no window is ever materialised as text.
+Scale: window hashes are built by doubling (1, 2, 4, 5 tokens), so no window is ever materialised as
+text.  While the benchmark has at most ``BROADCAST_WINDOWS`` windows (counted first) its hashes reach
+the tasks as one array and only windows that occur in it become rows of the join; beyond it all
+windows do and the join is left to the planner.
 Only documents with enough matches are read again for their slot values.
 
 Defined results: null and empty texts match nothing; items without words match nothing; items
@@ -29,7 +30,7 @@ from pyspark.sql import functions as F
 
 from weftline.llm.store import materialize
 
-WINDOW, MIN_COVER, MIN_WORDS, BROADCAST_WINDOWS = 5, 0.5, 2, 1_000_000
+WINDOW, MIN_COVER, MIN_WORDS, BROADCAST_WINDOWS = 5, 0.5, 2, 50_000
 NUM, UNIT, NAME, JOINT = "", "", "", ""  # private use characters
 #: Units that become a placeholder after a number (fixed values).
 UNITS = "km|cm|mm|m|kg|g|mg|lb|lbs|oz|l|ml|s|ms|min|h|hours?|minutes?|seconds?|days?|weeks?|months?|years?|miles?|feet|foot|inch(?:es)?|meters?|metres?|dollars?|euros?|cents?|percent|usd|eur|°c|°f"
@@ -81,11 +82,18 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, min_cover: float = MIN_C
     """doc_id, item_id, n_windows, n_matched, coverage of the contaminated pairs."""
     bench = materialize(benchmark_windows(benchmark, item_col, item_text), "benchmark-windows")
     keys = bench.select("item_id", F.col("pos").alias("item_pos"), F.col("w").alias("bench_w"), "n_windows")
-    if bench.count() <= BROADCAST_WINDOWS:
-        keys = F.broadcast(keys)
     texts = docs.where(F.col(text_col).isNotNull()).select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("t"))
     seen = with_windows(texts.select("doc_id", tokens(F.col("t")).alias("tokens")))
-    seen = seen.select("doc_id", F.posexplode("h5").alias("doc_pos", "w"))
+    if bench.count() <= BROADCAST_WINDOWS:
+        # a text's windows meet the benchmark's as arrays, in place; only windows that occur there become rows
+        known = bench.agg(F.sort_array(F.collect_set("w"))).scalar()
+        seen = seen.withColumn("met", F.array_intersect(known, F.col("h5")))
+        at = F.filter(F.transform("h5", lambda w, i: F.struct(i.alias("at"), w.alias("w"))), lambda x: F.array_contains("met", x["w"]))
+        seen = seen.select("doc_id", F.when(F.size("met") > 0, at).alias("at"))
+    else:
+        seen = seen.select("doc_id", F.transform("h5", lambda w, i: F.struct(i.alias("at"), w.alias("w"))).alias("at"))
+    # outer: else the optimizer infers a size filter from the explode, pushes it down and computes windows many times
+    seen = seen.select("doc_id", F.explode_outer("at").alias("x")).where("x is not null").select("doc_id", F.col("x.at").alias("doc_pos"), F.col("x.w").alias("w"))
     hits = seen.join(keys, F.col("w") == F.col("bench_w")).select("doc_id", "item_id", "doc_pos", "item_pos", "n_windows")
     # per alignment: which windows match
     lines = hits.groupBy("doc_id", "item_id", "n_windows", (F.col("doc_pos") - F.col("item_pos")).alias("lag")).agg(F.collect_set("item_pos").alias("at"))
@@ -93,23 +101,24 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, min_cover: float = MIN_C
     enough = lines.groupBy("doc_id", "item_id").agg(F.size(F.array_distinct(F.flatten(F.collect_list("at")))).alias("n"), F.first("n_windows").alias("of"))
     enough = enough.where(F.col("n") >= min_cover * F.col("of")).select("doc_id", "item_id")
     lines = lines.join(enough, ["doc_id", "item_id"], "left_semi")
-    # slots of the matching windows, with the values on both sides
-    wanted = lines.select("doc_id").distinct()
-    values = texts.join(wanted, "doc_id", "left_semi").dropDuplicates(["doc_id", "t"]).select("doc_id", tokens(F.col("t")).alias("doc_tokens"))
     cells = lines.select("doc_id", "item_id", "n_windows", "lag", F.explode("at").alias("item_pos"))
-    cells = cells.join(bench.select("item_id", F.col("pos").alias("item_pos"), "item_tokens"), ["item_id", "item_pos"]).join(values, "doc_id")
-    mine = F.slice("doc_tokens", F.col("item_pos") + F.col("lag") + 1, WINDOW)
-    both = F.zip_with("item_tokens", mine, lambda a, b: F.struct(a.alias("a"), b.alias("b")))
-    slots = F.filter(both, lambda x: template(x["a"]) != x["a"])
-    cells = cells.select("doc_id", "item_id", "n_windows", "lag", "item_pos", slots.alias("z"))
+    slotted = F.exists("item_tokens", lambda x: template(x) != x)
+    cells = cells.join(bench.select("item_id", F.col("pos").alias("item_pos"), "item_tokens", slotted.alias("slotted")), ["item_id", "item_pos"])
+    plain = cells.where(~F.col("slotted")).select("doc_id", "item_id", "n_windows", "item_pos")
+    # values on both sides, for windows with slots only
+    cells = cells.where("slotted").groupBy("doc_id").agg(F.collect_list(F.struct("item_id", "n_windows", "lag", "item_pos", "item_tokens")).alias("cells"))
+    values = texts.join(cells, "doc_id").select("doc_id", "cells", tokens(F.col("t")).alias("doc_tokens"))
+    both = lambda c: F.zip_with(c["item_tokens"], F.slice("doc_tokens", c["item_pos"] + c["lag"] + 1, WINDOW), lambda a, b: F.struct(a.alias("a"), b.alias("b")))
+    z = lambda c: F.filter(both(c), lambda x: template(x["a"]) != x["a"]).alias("z")
+    read = F.transform("cells", lambda c: F.struct(c["item_id"].alias("item_id"), c["n_windows"].alias("n_windows"), c["lag"].alias("lag"), c["item_pos"].alias("item_pos"), z(c)))
+    slots = materialize(values.select("doc_id", F.explode_outer(read).alias("x")).select("doc_id", "x.*"), "benchmark-slots")
     usual = (
-        cells.select("doc_id", "item_id", "lag", F.explode("z").alias("x")).groupBy("doc_id", "item_id", "lag", F.col("x.a").alias("a"), F.col("x.b").alias("b"))
+        slots.select("doc_id", "item_id", "lag", F.explode("z").alias("x")).groupBy("doc_id", "item_id", "lag", F.col("x.a").alias("a"), F.col("x.b").alias("b"))
         .agg(F.count(F.lit(1)).alias("n")).groupBy("doc_id", "item_id", "lag", "a").agg(F.max(F.struct("n", "b")).alias("best"))
         .groupBy("doc_id", "item_id", "lag").agg(F.map_from_entries(F.collect_list(F.struct("a", "best.b"))).alias("usual"))
     )
-    cells = cells.join(usual, ["doc_id", "item_id", "lag"], "left")
     steady = F.forall("z", lambda x: F.element_at("usual", x["a"]) == x["b"])
-    cells = cells.where((F.size("z") == 0) | steady)
+    cells = slots.join(usual, ["doc_id", "item_id", "lag"]).where(steady).select("doc_id", "item_id", "n_windows", "item_pos").unionByName(plain)
     found = cells.groupBy("doc_id", "item_id").agg(F.first("n_windows").alias("n_windows"), F.countDistinct("item_pos").alias("n_matched"))
     found = found.withColumn("coverage", F.col("n_matched") / F.col("n_windows"))
     return found.where(F.col("coverage") >= min_cover)

@@ -7,9 +7,11 @@ Two documents link when 100 * intersection >= 75 * union.
 1. *Sets.*  One pass gives every document its set size and a digest of its set; equal sets are one
    node from here on, so exact copies cost nothing more.  The same pass counts shingles that recur
    within a stretch of text; the ``HOT`` most frequent (bounded, broadcast) only set the order below.
-2. *Blocks.*  Shingles are ordered from rare to frequent.  Two sets that link share one of their first
-   ``n - ceil(0.75 n) + 1`` shingles, whatever the order, so blocks of nodes with such a shingle in
-   common lose no link; the order keeps passages that many documents share out of the blocks.
+2. *Blocks.*  Shingles are ordered from rare to frequent.  Two sets that link have an overlap of
+   ``ceil(0.75 n)`` at least, so the first k of their common shingles lie among the first
+   ``n - ceil(0.75 n) + k`` of either, whatever the order.  Nodes with such a shingle in common form
+   a block; a node that shares fewer than k of them with any others (k for the smallest size it may
+   link with) has no link and goes.  The order keeps passages that many documents share out of blocks.
 3. *Stars.*  Each node is verified exactly against the node it shares most blocks with; components
    of these links label the nodes.  A block with one label is done.
 4. *Signature trees.*  In every other block nodes are sorted by size and put into a binary tree whose
@@ -41,16 +43,21 @@ from pyspark.sql import functions as F
 from weftline.llm.store import materialize
 
 SHINGLE, HOT, BLOCK, STRETCH, RECUR = 5, 200_000, 4000, 2_000_000, 4
-MEMO = 400_000
-_memo: dict[bytes, int] = {}
+MEMO, BROADCAST_ROWS = 400_000, 1_000_000
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 
 
-def _word(w: bytes) -> int:
-    h = int.from_bytes(blake2b(w, digest_size=8).digest(), "little")
-    if len(_memo) < MEMO and len(w) < 40:
-        _memo[w] = h
-    return h
+class _Words(dict):
+    """Word -> 64-bit hash; a full memo only costs time."""
+
+    def __missing__(self, w: bytes) -> int:
+        h = int.from_bytes(blake2b(w, digest_size=8).digest(), "little")
+        if len(self) < MEMO and len(w) < 40:
+            self[w] = h
+        return h
+
+
+_words = _Words()
 
 
 def shingles(text: str | None) -> np.ndarray:
@@ -59,8 +66,7 @@ def shingles(text: str | None) -> np.ndarray:
     n = len(words)
     if not n:
         return np.zeros(0, np.uint64)
-    get = _memo.get
-    h = np.fromiter((get(w) or _word(w) for w in words), np.uint64, n)
+    h = np.fromiter(map(_words.__getitem__, words), np.uint64, n)
     size = min(n, SHINGLE)
     s = np.full(n - size + 1, size, np.uint64)
     for k in range(size):
@@ -75,8 +81,13 @@ def digest_of(s: np.ndarray) -> int:
     return int.from_bytes(blake2b(s.tobytes(), digest_size=8).digest(), "little", signed=True)
 
 
+def shared_least(n: int) -> int:
+    """Shingles that two linked sets share in their prefixes, by the size of the smaller."""
+    return max(1, -(-3 * n // 4) // 10)
+
+
 def prefix_length(n: int) -> int:
-    return n - -(-3 * n // 4) + 1
+    return n - -(-3 * n // 4) + shared_least(n)
 
 
 def links(a: int, b: int, common: int) -> bool:
@@ -320,12 +331,21 @@ def components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     owners = rows.where("kind = 0").select("id", "n", "node")
     blocks = block_rows(texts, hot_shingles(rows))
     by_sig = Window.partitionBy("sig")
+    first = owners.where("n > 0").groupBy("node").agg(F.min("id").alias("first_id"), F.first("n").alias("n"))
     blocks = blocks.select("sig", "node", F.min("node").over(by_sig).alias("low"), F.max("node").over(by_sig).alias("high"))
-    blocks = materialize(blocks.where("low != high").select("sig", "node", "low").distinct(), "blocks")
-    # whole sets of the nodes that share a block, each read from its first document
-    first = owners.where("n > 0").groupBy("node").agg(F.min("id").alias("first_id"))
-    wanted = first.join(blocks.select("node").distinct(), "node", "left_semi").select("first_id")
-    sets = materialize(set_table(texts.join(wanted, F.col("id") == F.col("first_id"), "left_semi")).dropDuplicates(["node"]), "sets")
+    blocks = materialize(blocks.where("low != high").select("sig", "node").distinct(), "blocks")
+    # shared_least of the smallest size a node may link with
+    need = F.greatest(F.lit(1), F.floor(F.ceil(F.ceil(F.col("n") * 0.75) * 0.75) / 10))
+    for k in range(2):
+        counts = blocks.groupBy("node").agg(F.count(F.lit(1)).alias("c"))
+        able = counts.join(first.select("node", "n"), "node").where(F.col("c") >= need).select("node")
+        blocks = blocks.join(able, "node", "left_semi")
+        blocks = blocks.select("sig", "node", F.min("node").over(by_sig).alias("low"), F.max("node").over(by_sig).alias("high")).where("low != high")
+        blocks = materialize(blocks.select("sig", "node", "low") if k else blocks.select("sig", "node"), f"blocks-{k}")
+    # whole sets of the nodes that are left, each read from its first document
+    wanted = materialize(first.join(blocks.select("node").distinct(), "node", "left_semi").select("first_id"), "wanted")
+    keys = F.broadcast(wanted) if wanted.count() <= BROADCAST_ROWS else wanted
+    sets = materialize(set_table(texts.join(keys, F.col("id") == F.col("first_id"), "left_semi")), "sets")
     # stars: the node met in most blocks
     star = blocks.where("node != low").groupBy("node", "low").agg(F.count(F.lit(1)).alias("c")).groupBy("node").agg(F.max_by("low", F.struct("c", "low")).alias("low"))
     pairs = star.select(F.least("node", "low").alias("a"), F.greatest("node", "low").alias("b")).distinct()
@@ -341,7 +361,7 @@ def components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     named = named.select("sig", F.least("side", "o").alias("i"), F.greatest("side", "o").alias("j"), "side", "node", "n", "bits", "label")
     more = verify(tree_join(named), sets)
     labels = label_nodes(near.unionByName(more))
-    named = first.join(labels, "node", "left").select("node", "first_id", F.coalesce("label", "node").alias("label"))
+    named = first.select("node", "first_id").join(labels, "node", "left").select("node", "first_id", F.coalesce("label", "node").alias("label"))
     smallest = named.groupBy("label").agg(F.min("first_id").alias("component_id"))
     of_node = named.join(smallest, "label").select("node", "component_id")
     out = owners.join(of_node, "node", "left")

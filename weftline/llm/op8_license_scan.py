@@ -111,8 +111,9 @@ def license_scan(docs: DataFrame, templates: dict[str, str] | None = None, id_co
         windows = F.transform(F.array_distinct(numbers), lambda j: F.struct(F.lit(length).alias("length"), (j * step + 1).cast("int").alias("start"), F.slice("runs", (j * step + 1).cast("int"), length).alias("own")))
         return F.filter(windows, lambda w: F.size(w["own"]) > 0)
 
-    windows = held.select("doc_id", F.explode(F.concat(*[starts(x) for x in lengths])).alias("w")).select("doc_id", "w.*")
-    keyed = windows.select("doc_id", "length", "start", F.col("own").alias("seen"), F.explode(_minima(F.col("own"))).alias("b"))
+    # outer: a plain explode makes the optimizer infer a filter that computes the array twice
+    windows = held.select("doc_id", F.explode_outer(F.concat(*[starts(x) for x in lengths])).alias("w")).where("w is not null").select("doc_id", "w.*")
+    keyed = windows.select("doc_id", "length", "start", F.col("own").alias("seen"), F.explode_outer(_minima(F.col("own"))).alias("b"))
     keyed = keyed.select("doc_id", "length", "start", "seen", F.col("b.k").alias("k"), F.col("b.low").alias("low"))
     hits = keyed.join(F.broadcast(bands), (F.col("length") == F.col("t_length")) & (F.col("k") == F.col("t_k")) & (F.col("low") == F.col("t_low")))
     share = F.size(F.array_intersect("own", "seen")) / F.size("own")

@@ -12,8 +12,9 @@ Two documents link when 100 * intersection >= 75 * union.
    ``n - ceil(0.75 n) + k`` of either, whatever the order.  Nodes with such a shingle in common form
    a block; a node that shares fewer than k of them with any others (k for the smallest size it may
    link with) has no link and goes.  The order keeps passages that many documents share out of blocks.
-3. *Stars.*  Each node is verified exactly against the node it shares most blocks with; components
-   of these links label the nodes.  A block with one label is done.
+3. *Stars.*  The hub of a block is the node with the largest share of its shingles in blocks, so of an
+   original and its edited copies it is the original.  Each node is verified exactly against the two
+   hubs it meets most; components of these links label the nodes.  A block with one label is done.
 4. *Signature trees.*  In every other block nodes are sorted by size and put into a binary tree whose
    nodes hold the OR of their members' bitmaps, their size range and their labels.  A dual
    traversal drops pairs of tree nodes of one label, of sizes too far apart, or whose bitmaps allow
@@ -169,8 +170,8 @@ def set_table(docs: DataFrame) -> DataFrame:
 
 
 def bitmap(s: np.ndarray) -> bytes:
-    """At least two bits for each shingle; the width is a power of two."""
-    width = max(64, 1 << (2 * len(s) - 1).bit_length())
+    """At least four bits for each shingle; the width is a power of two."""
+    width = max(64, 1 << (4 * len(s) - 1).bit_length())
     flags = np.zeros(width, bool)
     flags[(s & np.uint64(width - 1)).astype(np.int64)] = True
     return np.packbits(flags).tobytes()
@@ -242,7 +243,10 @@ def candidate_pairs(rows: list[tuple], cross: bool = False) -> Iterator[tuple[in
         if overlap + min(a.clash_at(width), b.clash_at(width)) < need:
             continue
         if a.kids is None and b.kids is None:
-            if links(a.low, b.low, min(a.low, b.low, overlap + min(a.clash_at(width), b.clash_at(width)))):
+            x, y = fold(a.bits, width), fold(b.bits, width)
+            # each bit of one that the other lacks is a shingle that the other lacks
+            most = min(a.low - int(_POP[x & ~y].sum()), b.low - int(_POP[y & ~x].sum()))
+            if links(a.low, b.low, most):
                 yield min(a.row[0], b.row[0]), max(a.row[0], b.row[0])
         elif b.kids is None or (a.kids is not None and a.high - a.low >= b.high - b.low):
             stack += [(k, b) for k in a.kids]
@@ -338,23 +342,29 @@ def components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     need = F.greatest(F.lit(1), F.floor(F.ceil(F.ceil(F.col("n") * 0.75) * 0.75) / 10))
     for k in range(2):
         counts = blocks.groupBy("node").agg(F.count(F.lit(1)).alias("c"))
-        able = counts.join(first.select("node", "n"), "node").where(F.col("c") >= need).select("node")
-        blocks = blocks.join(able, "node", "left_semi")
-        blocks = blocks.select("sig", "node", F.min("node").over(by_sig).alias("low"), F.max("node").over(by_sig).alias("high")).where("low != high")
-        blocks = materialize(blocks.select("sig", "node", "low") if k else blocks.select("sig", "node"), f"blocks-{k}")
+        # the share of its shingles that a node has in blocks: an original shares all, an edited copy not its edits
+        able = counts.join(first.select("node", "n"), "node").where(F.col("c") >= need).select("node", F.least(F.lit(1000), F.floor(F.col("c") * 1000 / F.col("n"))).alias("score"))
+        blocks = blocks.select("sig", "node").join(able, "node")
+        blocks = blocks.select("sig", "node", F.max(F.struct("score", "node")).over(by_sig).alias("best"), F.min("node").over(by_sig).alias("low"), F.max("node").over(by_sig).alias("high"))
+        blocks = materialize(blocks.where("low != high").select("sig", "node", F.col("best.node").alias("hub")), f"blocks-{k}")
     # whole sets of the nodes that are left, each read from its first document
     wanted = materialize(first.join(blocks.select("node").distinct(), "node", "left_semi").select("first_id"), "wanted")
     keys = F.broadcast(wanted) if wanted.count() <= BROADCAST_ROWS else wanted
     sets = materialize(set_table(texts.join(keys, F.col("id") == F.col("first_id"), "left_semi")), "sets")
-    # stars: the node met in most blocks
-    star = blocks.where("node != low").groupBy("node", "low").agg(F.count(F.lit(1)).alias("c")).groupBy("node").agg(F.max_by("low", F.struct("c", "low")).alias("low"))
-    pairs = star.select(F.least("node", "low").alias("a"), F.greatest("node", "low").alias("b")).distinct()
+    # stars: the two hubs met in most blocks
+    met = blocks.where("node != hub").groupBy("node", "hub").agg(F.count(F.lit(1)).alias("c"))
+    by_node = Window.partitionBy("node").orderBy(F.desc("c"), "hub")
+    star = met.withColumn("r", F.row_number().over(by_node)).where("r <= 2")
+    pairs = star.select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b")).distinct()
     near = materialize(verify(pairs, sets), "star-links")
     labels = label_nodes(near)
     # trees: blocks with several labels
     named = blocks.select("sig", "node").join(labels, "node", "left").select("sig", "node", F.coalesce("label", "node").alias("label"))
     named = named.select("*", F.min("label").over(by_sig).alias("low"), F.max("label").over(by_sig).alias("high"), F.count(F.lit(1)).over(by_sig).alias("c"))
-    named = named.where("low != high").drop("low", "high")
+    named = materialize(named.where("low != high").drop("low", "high"), "labelled-blocks")
+    # blocks of the same nodes need one look: passages give many of them
+    same = named.groupBy("sig").agg(F.count(F.lit(1)).alias("m"), F.bit_xor(F.xxhash64("node")).alias("x"), F.bit_xor(F.xxhash64("node", F.lit(7))).alias("y"))
+    named = named.join(same.groupBy("m", "x", "y").agg(F.min("sig").alias("sig")).select("sig"), "sig", "left_semi")
     named = named.join(sets.select("node", "n", "bits"), "node")
     chunks = F.ceil(F.col("c") / BLOCK).cast("int")
     named = named.withColumn("side", F.pmod(F.xxhash64("node"), chunks).cast("int")).withColumn("o", F.explode(F.sequence(F.lit(0), chunks - 1)))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from weftline import schema
 from weftline.functions import text as T
+from weftline.plans.store import materialize
 
 
 def topic_edges(producers: DataFrame, consumers: DataFrame) -> DataFrame:
@@ -49,17 +50,20 @@ def impact_walk(producers: DataFrame, consumers: DataFrame, topic: str, depth: i
     p, c = producers.select("node_id", "file_path", "topic").distinct(), consumers.select("node_id", "file_path", "topic").distinct()
     topics = p.select("topic").union(c.select("topic")).where(F.col("topic") == key).distinct().withColumn("hop", F.lit(1))
     start = p.where(F.col("topic") == key).select(F.lit(1).alias("hop"), F.lit("producer").alias("role"), "node_id", "topic")
-    reached = c.join(topics.select("topic"), "topic").groupBy("node_id").agg(F.first("file_path").alias("file_path"), F.min("topic").alias("topic")).withColumn("hop", F.lit(1))
-    frontier = reached
+    if depth > 1:  # a hop is read several times later; lineage must not multiply
+        p, c = materialize(p, "walk-producers"), materialize(c, "walk-consumers")
+
+    def hop_of(found: DataFrame, hop: int) -> DataFrame:
+        rows = found.groupBy("node_id").agg(F.min("file_path").alias("file_path"), F.min("topic").alias("topic")).withColumn("hop", F.lit(hop))
+        return materialize(rows, f"walk-{hop}") if depth > 1 else rows
+
+    frontier = reached = hop_of(c.join(topics.select("topic"), "topic"), 1)
     for hop in range(2, depth + 1):
         files = frontier.select("file_path").distinct()
         emitted = p.join(files, "file_path", "left_semi").select("topic").union(p.join(frontier.select("node_id"), "node_id", "left_semi").select("topic")).distinct()
-        new_topics = emitted.join(topics, "topic", "left_anti").withColumn("hop", F.lit(hop))
+        new_topics = materialize(emitted.join(topics, "topic", "left_anti").withColumn("hop", F.lit(hop)), f"walk-topics-{hop}")
         topics = topics.unionByName(new_topics)
-        frontier = (
-            c.join(new_topics.select("topic"), "topic").join(reached.select("node_id"), "node_id", "left_anti")
-            .groupBy("node_id").agg(F.first("file_path").alias("file_path"), F.min("topic").alias("topic")).withColumn("hop", F.lit(hop))
-        )
+        frontier = hop_of(c.join(new_topics.select("topic"), "topic").join(reached.select("node_id"), "node_id", "left_anti"), hop)
         reached = reached.unionByName(frontier)
     consumed = reached.select("hop", F.lit("consumer").alias("role"), "node_id", "topic")
     through = topics.select("hop", F.lit("topic").alias("role"), F.lit(None).cast("bigint").alias("node_id"), "topic")

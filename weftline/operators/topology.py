@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from weftline import schema
+from weftline.plans.store import materialize
 
 
 def build(edges: DataFrame, groups: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -16,7 +17,7 @@ def build(edges: DataFrame, groups: DataFrame) -> tuple[DataFrame, DataFrame, Da
     """
     a = groups.select(F.col("id").alias("from_id"), F.col("grp").alias("from_grp"))
     b = groups.select(F.col("id").alias("to_id"), F.col("grp").alias("to_grp"))
-    placed = edges.join(a, "from_id").join(b, "to_id")
+    placed = materialize(edges.join(a, "from_id").join(b, "to_id"), "placed-edges")  # read by every fold below
     sure = placed.where("confidence != 'ambiguous'").select("from_grp", "to_grp", "kind", schema.confidence_rank(F.col("confidence")).alias("rank"))
     unsure = (
         placed.where("confidence = 'ambiguous'").groupBy("from_id", "from_grp", "kind", "metadata")
@@ -25,7 +26,7 @@ def build(edges: DataFrame, groups: DataFrame) -> tuple[DataFrame, DataFrame, Da
     once = unsure.where("to_grp = last").select("from_grp", "to_grp", "kind", F.lit(1).alias("rank"))
     omitted = unsure.where("to_grp != last").agg(F.count(F.lit(1)).alias("ambiguous_omitted"))
     counted = sure.unionByName(once).groupBy("from_grp", "to_grp", "kind").agg(F.count(F.lit(1)).alias("count"), F.max("rank").alias("rank"))
-    counted = counted.withColumn("confidence", schema.confidence_of(F.col("rank"))).drop("rank")
+    counted = materialize(counted.withColumn("confidence", schema.confidence_of(F.col("rank"))).drop("rank"), "group-links")
     links = counted.where("from_grp != to_grp")
     ends = links.select(F.col("from_grp").alias("grp"), "count").unionByName(links.select(F.col("to_grp").alias("grp"), "count"))
     size = groups.groupBy("grp").agg(F.count(F.lit(1)).alias("contracts"))

@@ -2,7 +2,7 @@
 
 Every stage takes (spark, docs, sf_dir), works on all documents its predecessor kept, and returns a
 DataFrame that is written as Parquet and read again as the next stage's ``docs``.  All but the last
-return the columns of ``docs``, whatever further ones they hold; internal columns start with ``w_``.
+return the columns of ``docs``, whatever further ones they hold; internal columns start with ``__``.
 An empty table passes through every stage.
 """
 
@@ -21,8 +21,8 @@ MIN_LANGUAGE = 0.01
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents without a language: no letter, or no likeness to any learned language."""
     model = op6_language_id.prototypes(op6_language_id.training_rows(docs))
-    told = op6_language_id.identify(docs, model, out="w_language")
-    return told.where((F.col("w_language.lang") != "und") & (F.col("w_language.score") >= MIN_LANGUAGE)).select(*_columns(docs))
+    told = op6_language_id.identify(docs, model, out="__language")
+    return told.where((F.col("__language.lang") != "und") & (F.col("__language.score") >= MIN_LANGUAGE)).select(*_columns(docs))
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -30,22 +30,22 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     out = op1_line_dedup.dedup_lines(docs)
     if "n_chars" in docs.columns:
         kind = docs.schema["n_chars"].dataType
-        out = out.withColumn("n_chars", F.when(F.col("w_cut").isNull(), F.col("n_chars")).otherwise(F.char_length("text").cast(kind)))
+        out = out.withColumn("n_chars", F.when(F.col("__cut").isNull(), F.col("n_chars")).otherwise(F.char_length("text").cast(kind)))
     return out.select(*_columns(docs))
 
 
 def jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the document with the smallest id of every component of near duplicates."""
     found = op7_jaccard_join.components(docs)
-    gone = found.where("doc_id != component_id").select(F.col("doc_id").alias("w_id"))
-    return docs.join(gone, F.col("doc_id") == F.col("w_id"), "left_anti")
+    gone = found.where("doc_id != component_id").select(F.col("doc_id").alias("__gone"))
+    return docs.join(gone, F.col("doc_id") == F.col("__gone"), "left_anti")
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents that hold a benchmark item."""
     found = op2_decontaminate.contaminated(docs, table(spark, sf_dir, "benchmark"))
-    gone = found.select(F.col("doc_id").alias("w_id")).distinct()
-    return docs.join(gone, F.col("doc_id") == F.col("w_id"), "left_anti")
+    gone = found.select(F.col("doc_id").alias("__gone")).distinct()
+    return docs.join(gone, F.col("doc_id") == F.col("__gone"), "left_anti")
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

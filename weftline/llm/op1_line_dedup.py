@@ -56,24 +56,24 @@ def boilerplate(docs: DataFrame, min_sites: int = MIN_SITES, min_chars: int = MI
 
 
 def dedup_lines(docs: DataFrame, min_sites: int = MIN_SITES, min_chars: int = MIN_CHARS, near: float = NEAR, id_col: str = "doc_id", text_col: str = "text", site_col: str = "source") -> DataFrame:
-    """All rows and columns of ``docs``, the text without boilerplate lines, plus w_cut (their hashes, null if none)."""
+    """All rows and columns of ``docs``, the text without boilerplate lines, plus __cut (their hashes, null if none)."""
     seen, found = boilerplate(docs, min_sites, min_chars, near, id_col, text_col, site_col)
     cut = (
         seen.join(found, F.col("w_key") == F.col("b_key"))
         .where(F.col("w_id") > F.col("b_first"))
-        .groupBy("w_id").agg(F.collect_set("w_key").alias("w_cut"))
+        .groupBy(F.col("w_id").alias("__cut_id")).agg(F.collect_set("w_key").alias("__cut"))
     )
-    out = docs.join(cut, docs[id_col] == F.col("w_id"), "left").drop("w_id")
+    out = docs.join(cut, docs[id_col] == F.col("__cut_id"), "left").drop("__cut_id")
     lines = F.split(F.col(text_col), "\n")
-    kept = F.filter(lines, lambda x: ~F.coalesce(F.array_contains(F.col("w_cut"), line_key(x, min_chars)), F.lit(False)))
-    return out.withColumn(text_col, F.when(F.col("w_cut").isNull(), F.col(text_col)).otherwise(F.array_join(kept, "\n")))
+    kept = F.filter(lines, lambda x: ~F.coalesce(F.array_contains(F.col("__cut"), line_key(x, min_chars)), F.lit(False)))
+    return out.withColumn(text_col, F.when(F.col("__cut").isNull(), F.col(text_col)).otherwise(F.array_join(kept, "\n")))
 
 
 def digest(docs: DataFrame) -> DataFrame:
     """doc_id, n_lines, n_cut, clean_sha256."""
     before = docs.select(F.col("doc_id"), F.col("text"), F.col("source"), F.size(F.split(F.coalesce("text", F.lit("")), "\n")).cast("long").alias("n_lines"))
     out = dedup_lines(before)
-    left = F.when(F.col("w_cut").isNull(), F.col("n_lines")).when(F.col("text") == "", F.lit(0)).otherwise(F.size(F.split("text", "\n")))
+    left = F.when(F.col("__cut").isNull(), F.col("n_lines")).when(F.col("text") == "", F.lit(0)).otherwise(F.size(F.split("text", "\n")))
     return out.select("doc_id", "n_lines", (F.col("n_lines") - left).cast("long").alias("n_cut"), F.sha2("text", 256).alias("clean_sha256"))
 
 

@@ -42,7 +42,7 @@ def tokens(text: Column) -> Column:
     numbered = F.regexp_replace(joined, f"([0-9][0-9{JOINT}]*+)", f" {NUM}$1 ")
     unit = F.regexp_replace(numbered, rf"(?i)({NUM}[0-9{JOINT}]++) {{1,2}}({UNITS})(?![\p{{L}}\p{{N}}])", f"$1 {UNIT}$2")
     plain = F.when(text.rlike("[0-9]"), unit).otherwise(text)
-    named = F.regexp_replace(plain, r"(?<=[\p{L}\p{N},;:)] )(\p{Lu}\p{L}*+)", NAME + "$1")
+    named = F.regexp_replace(plain, r"(?<=[\p{L}\p{N},;)] )(\p{Lu}\p{L}*+)", NAME + "$1")
     return F.array_remove(F.split(F.lower(named), rf"[^\p{{L}}\p{{N}}{NUM}-{JOINT}]+"), "")
 
 

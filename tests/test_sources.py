@@ -1,6 +1,7 @@
 """Extraction from literal source texts, and the streams over file events."""
 
 import json
+import os
 
 from pyspark.sql import functions as F
 
@@ -82,6 +83,7 @@ def stream(spark, folder, rows, schema):
     folder.mkdir()
     for k, batch in enumerate(rows):
         (folder / f"{k}.json").write_text("\n".join(json.dumps(r) for r in batch))
+        os.utime(folder / f"{k}.json", (1_700_000_000 + 10 * k,) * 2)  # files are read in this order
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).json(str(folder))
 
 

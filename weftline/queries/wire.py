@@ -50,7 +50,7 @@ def wire_diff_fields(spark: SparkSession, sf: str) -> DataFrame:
 @register(
     "wire_diff_enums",
     """WITH s AS (SELECT 'E' || (s_suppkey % 10) AS enum, s_suppkey AS k, (s_suppkey // 10)::INTEGER AS number FROM supplier)
-       SELECT enum, number, CASE WHEN k % 7 = 2 THEN 'EnumValueDeletedWithoutReserved' ELSE 'EnumRenamedWarning' END AS rule FROM s WHERE k % 7 IN (2, 3)""",
+       SELECT enum, number, CASE WHEN k % 7 = 2 THEN 'EnumValueDeletedWithoutReserved' ELSE 'EnumRenamedWarning' END AS rule FROM s WHERE k % 7 IN (2, 3) AND enum IN (SELECT enum FROM s WHERE k % 7 <> 2)""",
 )
 def wire_diff_enums(spark: SparkSession, sf: str) -> DataFrame:
     s = P.read(spark, sf, "supplier").select(F.concat(F.lit("E"), F.col("s_suppkey") % 10).alias("enum"), F.floor(F.col("s_suppkey") / 10).cast("int").alias("number"), F.col("s_suppkey").alias("k"))

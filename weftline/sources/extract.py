@@ -261,10 +261,8 @@ def extract(files: DataFrame) -> DataFrame:
                 rows += [base | r for r in (*out.nodes, *out.facts)]
                 if failed:
                     rows.append(base | {"what": "failed"})
-            frame = pd.DataFrame(rows, columns=names)
-            for c in ("local", "line_start", "line_end", "repo_id"):
-                frame[c] = frame[c].astype("Int32")
-            yield frame
+            frame = pd.DataFrame(rows, columns=names, dtype=object)
+            yield frame.where(frame.notna(), None)
 
     return files.where("text is not null").select("path", "repo_id", "language", "text").mapInPandas(run, FACTS)
 

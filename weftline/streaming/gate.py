@@ -46,7 +46,7 @@ def hold_gate(events: DataFrame, settle_ms: int = SETTLE_MS, max_hold_ms: int =
                 out.append((key[0], last + settle_ms, n, last + settle_ms - first))
             state.remove()
         else:
-            rows = sorted((int(t.value // 1_000_000), k) for b in batches for t, k in zip(b["ts"], b["kind"], strict=True))
+            rows = sorted((round(t.timestamp() * 1000), k) for b in batches for t, k in zip(b["ts"], b["kind"], strict=True))
             for at, _ in rows:
                 if n and (at - last > settle_ms or at - first > max_hold_ms):
                     flushed = min(last + settle_ms, first + max_hold_ms)

@@ -179,7 +179,7 @@ def topology_select(spark: SparkSession, sf: str) -> DataFrame:
 def implements_candidates(spark: SparkSession, sf: str) -> DataFrame:
     n = P.part_nodes(spark, sf)
     spelled = F.when(F.col("id") % 3 == 0, F.col("name")).when(F.col("id") % 3 == 1, F.lower(F.translate("name", " ", "_"))).otherwise(F.concat(F.lit("x"), "name"))
-    return resolve.implements(n.where("id <= 300"), n.where("id > 300 and id <= 900").withColumn("name", spelled))
+    return resolve.implements(n.where("kind = 'grpc_method'"), n.where("kind != 'grpc_method'").withColumn("name", spelled))
 
 
 @register(

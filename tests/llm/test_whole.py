@@ -1,11 +1,23 @@
 """Operators on all of their input: what a cut would leave out."""
 
-from tests.conftest import DATA
+from tests.conftest import DATA, against_sql
 from tests.llm.conftest import documents
 from weftline.llm import catalog
+from weftline.llm import op1_line_dedup as op1
 from weftline.llm import op8_license_scan as op8
 
 
+def test_op1_lets_the_spread_decide_for_short_lines(spark, duck):
+    rows = [(k, f"own text number {k} here\nthe first line of a repeated block\n Les.\n\nrare\n \t", "en", f"site{k}") for k in range(1, 7)]
+    rows += [(k, "twice\nown words", "en", f"site{k % 4}") for k in range(10, 20)]
+    out = {r["doc_id"]: r["text"] for r in op1.dedup_lines(documents(spark, rows)).collect()}
+    assert "Les." in out[1] and all(out[k] == f"own text number {k} here\n\n \t" for k in range(2, 7))
+    assert all(out[k] == "twice\nown words" for k in range(10, 20))
+    sql = catalog.oracle_sql()["op1_line_dedup"]
+    assert ">= 20 THEN" in sql
+    against_sql(spark, duck, catalog.queries()["op1_line_dedup"], sql.replace(">= 20 THEN", ">= 1 THEN"))
+
+
 def test_op8_finds_the_license_lines_of_the_data(spark):
     sf = f"{DATA}/sf0.01"
     lines = {

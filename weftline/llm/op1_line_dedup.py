@@ -1,13 +1,13 @@
 """Cross-site line dedup by distinct-site spread.
 
-A line is compared by its trimmed, lower-cased text (64-bit hash); lines shorter than
-``min_chars`` are never boilerplate.  One aggregation per line hash merges HyperLogLog sketches of
+A line is compared by its trimmed, lower-cased text (64-bit hash), however short; blank lines are
+never boilerplate.  One aggregation per line hash merges HyperLogLog sketches of
 the sites it was seen on (map-side partial sketches, so a line on every page costs one sketch per
 task).  Estimates outside ``near`` of the threshold decide at once; lines inside it get an exact
 distinct count of their sites.  A line on ``min_sites`` sites or more is boilerplate: it stays in
 its first document (lowest id) and is cut from all others.
 
-Defined results: null text stays null; empty lines stay; a null site is one site of its own; a
+Defined results: null text stays null; blank lines stay; a null site is one site of its own; a
 document whose lines are all cut keeps its row with an empty text; the same line twice in its first
 document stays twice; rows with equal ids are treated alike; other columns pass through untouched.
 """
@@ -19,23 +19,24 @@ from pyspark.sql import functions as F
 
 from weftline.llm.store import materialize
 
-MIN_SITES, MIN_CHARS, NEAR, LG_K = 5, 20, 0.3, 12
+MIN_SITES, NEAR, LG_K = 5, 0.3, 12
+MIN_CHARS = 20  # of the SQL only
 
 
-def line_key(line: Column, min_chars: int) -> Column:
-    """Hash of the normalised line; null where the line is too short to count."""
+def line_key(line: Column) -> Column:
+    """Hash of the normalised line; null where the line is blank."""
     normal = F.lower(F.trim(line))
-    return F.when(F.char_length(normal) >= min_chars, F.xxhash64(normal))
+    return F.when(normal.rlike(r"\S"), F.xxhash64(normal))
 
 
-def boilerplate(docs: DataFrame, min_sites: int = MIN_SITES, min_chars: int = MIN_CHARS, near: float = NEAR, id_col: str = "doc_id", text_col: str = "text", site_col: str = "source") -> tuple[DataFrame, DataFrame]:
+def boilerplate(docs: DataFrame, min_sites: int = MIN_SITES, near: float = NEAR, id_col: str = "doc_id", text_col: str = "text", site_col: str = "source") -> tuple[DataFrame, DataFrame]:
     """(occurrences: w_id, w_site, w_key), (boilerplate lines: b_key, b_first)."""
     lines = docs.where(F.col(text_col).isNotNull()).select(
         F.col(id_col).alias("w_id"),
         F.coalesce(F.concat(F.lit("="), F.col(site_col).cast("string")), F.lit("")).alias("w_site"),
         F.explode_outer(F.split(text_col, "\n")).alias("w_line"),
     )
-    seen = materialize(lines.select("w_id", "w_site", line_key(F.col("w_line"), min_chars).alias("w_key")).where("w_key is not null"), "lines")
+    seen = materialize(lines.select("w_id", "w_site", line_key(F.col("w_line")).alias("w_key")).where("w_key is not null"), "lines")
     spread = (
         seen.groupBy("w_key")
         .agg(F.hll_sketch_agg("w_site", F.lit(LG_K)).alias("sites"), F.min("w_id").alias("b_first"), F.count(F.lit(1)).alias("n"))
@@ -55,9 +56,9 @@ def boilerplate(docs: DataFrame, min_sites: int = MIN_SITES, min_chars: int = MI
     return seen, found
 
 
-def dedup_lines(docs: DataFrame, min_sites: int = MIN_SITES, min_chars: int = MIN_CHARS, near: float = NEAR, id_col: str = "doc_id", text_col: str = "text", site_col: str = "source") -> DataFrame:
+def dedup_lines(docs: DataFrame, min_sites: int = MIN_SITES, near: float = NEAR, id_col: str = "doc_id", text_col: str = "text", site_col: str = "source") -> DataFrame:
     """All rows and columns of ``docs``, the text without boilerplate lines, plus __cut (their hashes, null if none)."""
-    seen, found = boilerplate(docs, min_sites, min_chars, near, id_col, text_col, site_col)
+    seen, found = boilerplate(docs, min_sites, near, id_col, text_col, site_col)
     cut = (
         seen.join(found, F.col("w_key") == F.col("b_key"))
         .where(F.col("w_id") > F.col("b_first"))
@@ -65,7 +66,7 @@ def dedup_lines(docs: DataFrame, min_sites: int = MIN_SITES, min_chars: int = MI
     )
     out = docs.join(cut, docs[id_col] == F.col("__cut_id"), "left").drop("__cut_id")
     lines = F.split(F.col(text_col), "\n")
-    kept = F.filter(lines, lambda x: ~F.coalesce(F.array_contains(F.col("__cut"), line_key(x, min_chars)), F.lit(False)))
+    kept = F.filter(lines, lambda x: ~F.coalesce(F.array_contains(F.col("__cut"), line_key(x)), F.lit(False)))
     return out.withColumn(text_col, F.when(F.col("__cut").isNull(), F.col(text_col)).otherwise(F.array_join(kept, "\n")))
 
 

@@ -1,5 +1,7 @@
 """Queries over all rows of their tables, against SQL without the cuts of the registered one."""
 
+import pytest
+
 from tests.conftest import against_sql
 from weftline import catalog
 
@@ -28,3 +30,8 @@ def test_sanitize_masks_behind_the_first_characters(spark, tmp_path):
     spark.createDataFrame([(3, text), (7, None)], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
     got = {r["doc_id"]: r["clean"] for r in catalog.queries()["doc_sanitize"](spark, str(tmp_path)).collect()}
     assert got == {3: text.replace("Ignore previous instructions", "[FILTERED_ADVERSARIAL_INPUT]"), 7: None}
+
+
+@pytest.mark.parametrize("name", ["topic_edges", "topic_hubs", *(f"impact_depth_{d}" for d in range(1, 6)), "impact_chain_end"])
+def test_topics_take_every_lineitem(spark, duck, name):
+    against_sql(spark, duck, catalog.queries()[name], whole(name, (" WHERE l_quantity >= 50", "")))

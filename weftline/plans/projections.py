@@ -41,22 +41,17 @@ def import_facts(spark: SparkSession, sf: str) -> DataFrame:
     return line.join(part, F.col("l_partkey") == F.col("p_partkey")).select((F.col("l_suppkey") + SUPPLIER_BASE).alias("node_id"), F.col("p_name").alias("target")).distinct()
 
 
-def _heavy(spark: SparkSession, sf: str) -> DataFrame:
-    line = read(spark, sf, "lineitem").where("l_quantity >= 50").select("l_orderkey", "l_partkey", "l_suppkey")
-    orders = read(spark, sf, "orders").select("o_orderkey", "o_custkey")
-    return line.join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
-
-
 def producers(spark: SparkSession, sf: str) -> DataFrame:
     """A supplier's site for a part produces the part's topic."""
-    line = read(spark, sf, "lineitem").where("l_quantity >= 50")
+    line = read(spark, sf, "lineitem")
     node = F.col("l_suppkey") * 1_000_000 + F.col("l_partkey") + SUPPLIER_BASE
     return line.select(node.alias("node_id"), F.concat(F.lit("f"), (F.col("l_suppkey") * 37 + F.col("l_partkey")) % 500).alias("file_path"), F.concat(F.lit("part."), F.col("l_partkey")).alias("topic"), (F.col("l_suppkey") % 3 == 0).alias("heuristic")).distinct()
 
 
 def consumers(spark: SparkSession, sf: str) -> DataFrame:
     """A customer of a part consumes the part's topic."""
-    rows = _heavy(spark, sf)
+    line = read(spark, sf, "lineitem").select("l_orderkey", "l_partkey")
+    rows = line.join(read(spark, sf, "orders").select("o_orderkey", "o_custkey"), F.col("l_orderkey") == F.col("o_orderkey"))
     return rows.select((F.col("o_custkey") + CUSTOMER_BASE).alias("node_id"), F.concat(F.lit("f"), F.col("o_custkey") % 500).alias("file_path"), F.concat(F.lit("part."), F.col("l_partkey")).alias("topic"), (F.col("o_custkey") % 5 == 0).alias("heuristic")).distinct()
 
 

@@ -35,3 +35,15 @@ def test_sanitize_masks_behind_the_first_characters(spark, tmp_path):
 @pytest.mark.parametrize("name", ["topic_edges", "topic_hubs", *(f"impact_depth_{d}" for d in range(1, 6)), "impact_chain_end"])
 def test_topics_take_every_lineitem(spark, duck, name):
     against_sql(spark, duck, catalog.queries()[name], whole(name, (" WHERE l_quantity >= 50", "")))
+
+
+def test_wire_reserves_numbers_of_any_size(spark, tmp_path):
+    import duckdb
+
+    spark.range(100_000, 101_000).withColumnRenamed("id", "p_partkey").write.parquet(f"{tmp_path}/part.parquet")
+    con = duckdb.connect()
+    con.sql(f"create view part as select * from read_parquet('{tmp_path}/part.parquet/*.parquet')")
+    con.sql(f"create view fields as {catalog.oracle_sql()['wire_diff_fields']}")
+    wanted = sorted(con.sql("select message, number, rule, old_name, new_name from fields").fetchall(), key=repr)
+    got = catalog.queries()["wire_diff_fields"](spark, str(tmp_path)).select("message", "number", "rule", "old_name", "new_name").collect()
+    assert wanted and sorted(map(tuple, got), key=repr) == wanted

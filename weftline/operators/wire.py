@@ -66,7 +66,7 @@ def diff_fields(old: DataFrame, new: DataFrame, reserved_old: DataFrame, reserve
     """(message, number, rule, old_name, new_name) for messages of both versions.
 
     old, new: fields with cls; reserved_*: (message, lo, hi, name).  A full outer join on (message, number);
-    reserved ranges are a range join within a message.
+    reserved single numbers and names are equi-joins, wider ranges a range join within a message.
     """
     both = old.select("message").distinct().join(new.select("message").distinct(), "message")
     side = lambda df, p: df.join(both, "message", "left_semi").groupBy("message", "number").agg(F.min_by(F.struct("name", "cardinality", "value_type", "cls"), "name").alias(p)).select("message", "number", *[F.col(f"{p}.{c}").alias(f"{p}_{c}") for c in ("name", "cardinality", "value_type", "cls")])
@@ -77,11 +77,13 @@ def diff_fields(old: DataFrame, new: DataFrame, reserved_old: DataFrame, reserve
 
     def reserved(df: DataFrame, out: str, by_name: bool) -> DataFrame:
         k = df.select(F.col("message").alias("r_message"), "lo", "hi", F.col("name").alias("r_name"))
-        hit = rows.select("message", "number", "o_name").join(k, F.col("message") == F.col("r_message"))
-        match = F.col("number").between(F.col("lo"), F.col("hi"))
+        left = rows.select("message", "number", "o_name")
+        same = F.col("message") == F.col("r_message")
+        hit = left.join(k.where("lo = hi"), same & (F.col("number") == F.col("lo"))).select("message", "number")
+        hit = hit.union(left.join(k.where("lo < hi"), same & F.col("number").between(F.col("lo"), F.col("hi"))).select("message", "number"))
         if by_name:
-            match = F.coalesce(match, F.lit(False)) | F.coalesce(F.col("o_name") == F.col("r_name"), F.lit(False))
-        return hit.where(match).select("message", "number", F.lit(True).alias(out)).distinct()
+            hit = hit.union(left.join(k, same & (F.col("o_name") == F.col("r_name"))).select("message", "number"))
+        return hit.distinct().withColumn(out, F.lit(True))
 
     rows = rows.join(reserved(reserved_new, "kept", True), ["message", "number"], "left").join(reserved(reserved_old, "was", False), ["message", "number"], "left")
     verdict = field_verdict("o", "n")

@@ -4,6 +4,7 @@ from tests.conftest import DATA, against_sql
 from tests.llm.conftest import documents
 from weftline.llm import catalog
 from weftline.llm import op1_line_dedup as op1
+from weftline.llm import op3_quality as op3
 from weftline.llm import op8_license_scan as op8
 
 
@@ -40,3 +41,9 @@ def test_op8_short_notices_and_full_texts(spark):
     assert all(got[k, name][0] == 1.0 for k, name in enumerate(sorted(full)))
     assert got[100, "all-rights-reserved"] == (1.0, 1) and got[101, "all-rights-reserved"] == (1.0, 2)
     assert not any(i in (102, 103, 111) for i, _ in got) and 0.75 <= got[110, "mit"][0] < 0.85
+
+
+def test_op3_letter_share_is_of_the_whole_text():
+    for n in (1, 1_999, 2_000, 3_999, 4_000, 5_999, 50_000):
+        assert op3._hash("\x00a20") in op3.features("x" * n)
+        assert op3._hash("\x00a10") in op3.features("x1" * n)

@@ -52,7 +52,7 @@ def features(text: str | None) -> np.ndarray:
         f"\x00u{round(10 * len(distinct) / max(1, n))}",
         f"\x00l{round(10 * len(set(lines)) / max(1, len(lines)))}",
         f"\x00w{min(20, chars // max(1, n))}",
-        f"\x00a{round(20 * sum(map(str.isalpha, text[:: max(1, chars // 2000)])) / min(chars, 2000))}",
+        f"\x00a{round(20 * sum(map(str.isalpha, text)) / chars)}",
     ]
     return np.fromiter({*map(_hash, distinct), *map(_hash, shape)}, np.int64)
 

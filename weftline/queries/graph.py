@@ -172,7 +172,7 @@ def topology_select(spark: SparkSession, sf: str) -> DataFrame:
 
 @register(
     "implements_candidates",
-    f"""WITH {NODES_SQL}, a AS (SELECT id AS proto_id, name FROM pn WHERE id <= 300), b AS (SELECT id AS handler_id, CASE WHEN id % 3 = 0 THEN name WHEN id % 3 = 1 THEN lower(replace(name, ' ', '_')) ELSE 'x' || name END AS name FROM pn WHERE id > 300 AND id <= 900)
+    f"""WITH {NODES_SQL}, a AS (SELECT id AS proto_id, name FROM pn WHERE kind = 'grpc_method'), b AS (SELECT id AS handler_id, CASE WHEN id % 3 = 0 THEN name WHEN id % 3 = 1 THEN lower(replace(name, ' ', '_')) ELSE 'x' || name END AS name FROM pn WHERE kind <> 'grpc_method')
         SELECT proto_id, handler_id, CASE WHEN a.name = b.name THEN 'exact' ELSE 'heuristic' END AS confidence FROM a JOIN b ON lower(replace(split_part(a.name, '.', -1), '_', '')) = lower(replace(split_part(b.name, '.', -1), '_', ''))
           OR list_aggregate(list_transform(list_filter(string_split_regex(b.name, '[-_./ ]'), lambda x: x <> ''), lambda x: upper(x[1]) || x[2:]), 'string_agg', '') = a.name""",
 )

@@ -9,7 +9,9 @@ its first document (lowest id) and is cut from all others.
 
 Defined results: null text stays null; blank lines stay; a null site is one site of its own; a
 document whose lines are all cut keeps its row with an empty text; the same line twice in its first
-document stays twice; rows with equal ids are treated alike; other columns pass through untouched.
+document stays twice; rows with equal ids are treated alike (the line stays in all rows of the lowest
+id), so ties need no order; very long texts and lines are taken whole; an empty table gives an empty
+result; other columns pass through untouched, whatever their names (internal ones start with w_, b_, __).
 """
 
 from __future__ import annotations
@@ -20,13 +22,12 @@ from pyspark.sql import functions as F
 from weftline.llm.store import materialize
 
 MIN_SITES, NEAR, LG_K = 5, 0.3, 12
-MIN_CHARS = 20  # of the SQL only
 
 
 def line_key(line: Column) -> Column:
     """Hash of the normalised line; null where the line is blank."""
     normal = F.lower(F.trim(line))
-    return F.when(normal.rlike(r"\S"), F.xxhash64(normal))
+    return F.when(normal.rlike(r"[^\x20\x09-\x0D]"), F.xxhash64(normal))
 
 
 def boilerplate(docs: DataFrame, min_sites: int = MIN_SITES, near: float = NEAR, id_col: str = "doc_id", text_col: str = "text", site_col: str = "source") -> tuple[DataFrame, DataFrame]:
@@ -81,7 +82,7 @@ def digest(docs: DataFrame) -> DataFrame:
 SQL = rf"""
 WITH l AS (SELECT doc_id, coalesce('=' || source, '') AS site, unnest(string_split(text, chr(10))) AS line,
                   generate_subscripts(string_split(text, chr(10)), 1) AS pos FROM documents WHERE text IS NOT NULL),
-k AS (SELECT *, CASE WHEN length(lower(trim(line))) >= {MIN_CHARS} THEN lower(trim(line)) END AS key FROM l),
+k AS (SELECT *, CASE WHEN regexp_matches(lower(trim(line)), '[^\x20\x09-\x0D]') THEN lower(trim(line)) END AS key FROM l),
 b AS (SELECT key, min(doc_id) AS first_id FROM k WHERE key IS NOT NULL GROUP BY 1 HAVING count(DISTINCT site) >= {MIN_SITES}),
 c AS (SELECT k.doc_id, count(*) AS n_lines, count(*) FILTER (b.key IS NOT NULL AND k.doc_id > b.first_id) AS n_cut,
              coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (b.key IS NULL OR k.doc_id <= b.first_id), '') AS text

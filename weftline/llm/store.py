@@ -1,32 +1,12 @@
-"""Shared-folder tables that cut lineage, and small readers used by every operator here."""
+"""Small readers used by every operator here."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 
+from weftline.plans.store import drop, materialize, shared_dir
 
-def shared_dir(spark: SparkSession) -> str:
-    """Folder all executors share: ``spark.checkpoint.dir``, or a local one where that is unset (tests)."""
-    conf = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if not conf:
-        conf = "file://" + tempfile.mkdtemp(prefix="weftline-shared-")
-        spark.conf.set("spark.checkpoint.dir", conf)
-    return conf.rstrip("/")
-
-
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` as Parquet into the shared folder and read it back.
-
-    Survives the loss of any executor (unlike a local checkpoint) and gives later
-    plans true sizes.  A fresh folder per call, so nothing is ever overwritten.
-    """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/weftline/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+__all__ = ["drop", "materialize", "shared_dir", "table"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -38,7 +38,7 @@ def op3_quality_(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def op4_mixing_(spark: SparkSession, sf: str) -> DataFrame:
-    return op4_mixing.mix(table(spark, sf, "documents"))
+    return op4_mixing.mix(table(spark, sf, "documents"), weight=op4_mixing.digits())
 
 
 def op5_pii_(spark: SparkSession, sf: str) -> DataFrame:

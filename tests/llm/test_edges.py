@@ -4,6 +4,7 @@ import hashlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from tests.llm.conftest import documents
@@ -17,6 +18,8 @@ from weftline.llm import op7_jaccard_join as op7
 from weftline.llm import op8_license_scan as op8
 from weftline.llm import op9_token_counts as op9
 from weftline.llm import op10_imatch as op10
+from weftline.llm import shingles
+from weftline.llm import signature_tree as tree
 
 LONG = "lorem ipsum dolor sit amet, " * 20_000
 
@@ -86,12 +89,39 @@ def test_op4_targets_and_weights(spark):
     rows = [(k, "w " * (k % 40 + 1), "en", f"s{k % 3}") for k in range(3000)]
     docs = documents(spark, rows)
     docs = docs.withColumn("weight", docs["doc_id"] % 7 + 1)
-    for weight in (None, "weight"):
-        out = op4.mix(docs, weight_col=weight).toPandas()
+    for weight, broadcast_rows in ((None, 1000), (F.col("weight"), 1000), (F.col("weight"), 0), (op4.digits(), 1000)):
+        out = op4.mix(docs, weight=weight, broadcast_rows=broadcast_rows).toPandas()
         for _, own in out.groupby("target"):
             assert abs(own["taken"].sum() - own["target"].iloc[0]) <= 40
         assert (out["taken"] <= 3 * out["size"]).all()
         assert abs(out.groupby("target")["taken"].sum().sum() - out["size"].sum()) < 150
+    # the heavier a document of one source, the more copies of it
+    both = out.assign(own=out["size"].map(lambda n: n.bit_length()), src=out["doc_id"] % 3)
+    assert all(g.groupby("own")["copies"].mean().iloc[-1] > g.groupby("own")["copies"].mean().iloc[0] for _, g in both.groupby("src"))
+
+
+def test_op4_one_id_with_several_texts(spark):
+    rows = [(7, f"text {k} " + "w " * (k % 9), "en", "s") for k in range(40)] + [(k, "w " * 30, "en", "t") for k in range(9)]
+    docs = documents(spark, rows)
+    runs = [sorted(map(str, op4.mix(docs.repartition(n), weight=op4.digits()).collect())) for n in (1, 3, 7)]
+    assert runs[0] == runs[1] == runs[2]
+
+
+def test_op4_targets_of_many_sources(spark):
+    """Numbers by code point and levels as a plain computation gives them."""
+    rng = np.random.default_rng(2)
+    sizes = {f"h{k}": int(rng.integers(0, 1000)) for k in range(300)} | {None: 77, "é": 5000, "Z": 3}
+    got = {r["src"]: r["target"] for r in op4.source_targets(spark.createDataFrame(list(sizes.items()), "src string, source_size long")).collect()}
+    names = sorted((n for n in sizes if n is not None), key=lambda n: n.encode()) + [None]
+    weight, total = {n: k % 3 + 1 for k, n in enumerate(names)}, sum(sizes.values())
+    capped = set()
+    while True:
+        level = (total - 3 * sum(sizes[n] for n in capped)) / sum(weight[n] for n in names if n not in capped)
+        more = {n for n in names if 3 * sizes[n] < level * weight[n]}
+        if more == capped:
+            break
+        capped = more
+    assert got == pytest.approx({n: 3 * sizes[n] if n in capped else level * weight[n] for n in names})
 
 
 def test_op5(odd, nothing, spark):
@@ -138,24 +168,65 @@ def test_op7_chains_and_shared_passages(spark):
     assert {i: r["n_shingles"] for i, r in got.items()} == sizes
 
 
-def test_op7_tree_finds_what_brute_force_finds():
-    rng = np.random.default_rng(3)
+def clusters_of_sets(rng, count, most):
     pool = rng.integers(0, 1 << 63, 3000, dtype=np.uint64)
     sets = []
-    for _ in range(60):
-        s = np.unique(rng.choice(pool, rng.integers(20, 120)))
+    for _ in range(count):
+        s = np.unique(rng.choice(pool, rng.integers(1, most)))
         sets.append(s)
-        for _ in range(2):
+        for _ in range(3):
             t = s.copy()
-            t[: rng.integers(1, 12)] = rng.integers(0, 1 << 63)
+            t[: rng.integers(0, max(1, len(t) // 4) + 1)] = rng.integers(0, 1 << 63)
             sets.append(np.unique(t))
-    rows = [(k, len(s), np.frombuffer(op7.bitmap(s), np.uint8), k, 0) for k, s in enumerate(sets)]
-    found = set(op7.candidate_pairs(rows))
+    return sets
+
+
+@pytest.mark.parametrize(("most", "cross"), [(20, False), (60, False), (300, False), (60, True), (300, True)])
+def test_op7_tree_finds_what_brute_force_finds(most, cross):
+    rng = np.random.default_rng(most)
+    sets = clusters_of_sets(rng, 60, most)
+    label, side = rng.integers(0, 200, len(sets)), rng.integers(0, 2, len(sets))
+    n = np.array([len(s) for s in sets])
+    found = [p for a, b in tree.candidate_pairs(np.arange(len(sets)), n, [tree.bitmap(s) for s in sets], label, side, cross) for p in zip(a.tolist(), b.tolist(), strict=True)]
+    assert len(found) == len(set(found)) < len(sets) * (len(sets) - 1) // 6
     for a in range(len(sets)):
         for b in range(a):
-            if op7.links(len(sets[a]), len(sets[b]), len(np.intersect1d(sets[a], sets[b]))):
-                assert (b, a) in found
-    assert len(found) < len(sets) * (len(sets) - 1) // 6
+            if label[a] != label[b] and (not cross or side[a] != side[b]) and tree.links(n[a], n[b], len(np.intersect1d(sets[a], sets[b]))):
+                assert (b, a) in set(found)
+
+
+def test_op7_blocks_over_a_chunk(spark):
+    """Blocks and hubs split into bands and chunks give the links of whole ones."""
+    rng = np.random.default_rng(5)
+    sets = clusters_of_sets(rng, 40, 120)
+    n = [len(s) for s in sets]
+    sizes = spark.createDataFrame([(k, len(s)) for k, s in enumerate(sets)], "node long, n long")
+    table = spark.createDataFrame([(k, len(s), bytearray(s.tobytes()), bytearray(tree.bitmap(s))) for k, s in enumerate(sets)], "node long, n long, items binary, bits binary")
+    everything = spark.createDataFrame([(sig, k, k) for sig in range(40) for k in range(len(sets))], "sig long, node long, label long")
+    want = {(b, a) for a in range(len(sets)) for b in range(a) if tree.links(n[a], n[b], len(np.intersect1d(sets[a], sets[b])))}
+    for chunk in (7, 50, 1000):
+        rows = op7.block_trees(op7._enough(everything, sizes), table, chunk)
+        assert rows.groupBy("sig", "i", "j").count().agg({"count": "max"}).first()[0] <= max(6 * chunk, 40)
+        got = {(r["a"], r["b"]) for r in op7.verify(op7.tree_join(rows), table).collect()}
+        assert got == want
+    hubs = spark.createDataFrame([(0, k, 0) for k in range(len(sets))] + [(1, k, 4) for k in range(len(sets))], "sig long, node long, hub long")
+    got = {(r["a"], r["b"]) for r in op7.verify(op7.tree_join(op7.hub_trees(hubs, table, 7)), table).collect()}
+    assert got == {p for p in want if 0 in p or 4 in p}
+
+
+def test_op7_shingles_are_those_of_the_definition():
+    from tests.llm.test_queries import shingle_set
+
+    texts = ["", " \t", "a", "A b", "a b c d e", "x" * 3_000_000 + " y  Z", "É à\x0b\x0c z \x85 q", "one two three four five six " * 300, None]
+    texts += [" ".join(np.random.default_rng(k).choice(["a", "B", "cc", "é"], 90)) for k in range(50)]
+    import pyarrow as pa
+
+    for most in (1, 1000, 1 << 24):
+        sets = [s for _, part in shingles.shingle_sets(pa.array(texts), most) for s in part]
+        brute = [shingle_set(t) for t in texts]
+        assert [len(s) for s in sets] == [len(s) for s in brute]
+        for k in range(9, len(texts) - 1):
+            assert len(np.intersect1d(sets[k], sets[k + 1])) == len(brute[k] & brute[k + 1])
 
 
 def test_op8(odd, nothing, spark):

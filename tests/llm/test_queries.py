@@ -57,9 +57,10 @@ def brute_components(texts):
     return {i: len(s) for i, s in sets.items()}, {i: find(i) for i in sets}
 
 
-def test_op7(spark, texts):
-    got = rows(spark, "op7_jaccard_join")
-    sizes, comps = brute_components(texts)
+@pytest.mark.parametrize("sf", ["sf0.001", "sf0.01"])
+def test_op7(spark, sf):
+    got = catalog.queries()["op7_jaccard_join"](spark, f"{DATA}/{sf}").toPandas().set_index("doc_id")
+    sizes, comps = brute_components(dict(duckdb.sql(f"select doc_id, text from '{DATA}/{sf}/documents.parquet'").fetchall()))
     assert got["n_shingles"].to_dict() == sizes
     assert got["component_id"].to_dict() == comps
 

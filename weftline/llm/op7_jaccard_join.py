@@ -12,74 +12,44 @@ Two documents link when 100 * intersection >= 75 * union.
    ``n - ceil(0.75 n) + k`` of either, whatever the order.  Nodes with such a shingle in common form
    a block; a node that shares fewer than k of them with any others (k for the smallest size it may
    link with) has no link and goes.  The order keeps passages that many documents share out of blocks.
-3. *Stars.*  The hub of a block is the node with the largest share of its shingles in blocks, so of an
-   original and its edited copies it is the original.  Each node is verified exactly against the two
-   hubs it meets most; components of these links label the nodes.  A block with one label is done.
-4. *Signature trees.*  In every other block nodes are sorted by size and put into a binary tree whose
-   nodes hold the OR of their members' bitmaps, their size range and their labels.  A dual
-   traversal drops pairs of tree nodes of one label, of sizes too far apart, or whose bitmaps allow
-   too small an overlap: overlap <= popcount(A and B) + most shingles that share a bit.  Pairs of
-   documents that remain are verified exactly; blocks over ``BLOCK`` rows are split into pairs of
-   chunks, so no task holds an unbounded block.
+3. *Trees around hubs.*  The hub of a block is the node with the largest share of its shingles in blocks,
+   so of an original and its edited copies it is the original.  The nodes that meet a hub most often (each
+   node counts for two hubs) form a signature tree, which the hub's signature traverses; pairs that
+   remain are verified exactly.  Components of these links label the nodes.
+4. *Trees of blocks.*  A block with one label is done, and a node with fewer than k blocks of several
+   labels too.  By the argument of 2, the first common block of two nodes, smallest blocks first, is not
+   among the last k - 1 of either, so these go.  Every block that is left is a signature tree which
+   is joined with itself (``signature_tree``), and pairs of nodes of different labels that remain are
+   verified exactly.  Blocks over ``BLOCK`` rows are split by size first (sets that link are in the
+   same or in neighbouring size bands), then into chunks, so no task holds an unbounded block.
 5. *Components* of all verified links by alternating large-star / small-star rounds, each a
    partial aggregation and a join, written to the shared folder.
 
 Shingles are 64-bit hashes, digests are 64 bits of BLAKE2b.
 
 Defined results: null, empty and white-space texts have an empty set, no link, and are their own
-component; repeated rows are one node; ids are integers, rows of equal id share a component only
-through their texts; other columns are ignored.
+component; very long texts count whole; repeated rows are one node; ids are integers, rows of equal id
+share a component only through their texts (``classes`` tells them apart); the least id names a
+component, so ties need no order; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from hashlib import blake2b
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from weftline.llm.store import materialize
+from weftline.llm.shingles import digest_of, shingle_sets
+from weftline.llm.signature_tree import bitmap, candidate_pairs, links
+from weftline.llm.store import drop, materialize
 
-SHINGLE, HOT, BLOCK, STRETCH, RECUR = 5, 200_000, 4000, 2_000_000, 4
-MEMO, BROADCAST_ROWS = 400_000, 1_000_000
-_ODD = np.uint64(0x9E3779B97F4A7C15)
-
-
-class _Words(dict):
-    """Word -> 64-bit hash; a full memo only costs time."""
-
-    def __missing__(self, w: bytes) -> int:
-        h = int.from_bytes(blake2b(w, digest_size=8).digest(), "little")
-        if len(self) < MEMO and len(w) < 40:
-            self[w] = h
-        return h
-
-
-_words = _Words()
-
-
-def shingles(text: str | None) -> np.ndarray:
-    """Sorted distinct 64-bit shingle hashes of a whole text."""
-    words = (text or "").encode("utf-8", "surrogatepass").lower().split()
-    n = len(words)
-    if not n:
-        return np.zeros(0, np.uint64)
-    h = np.fromiter(map(_words.__getitem__, words), np.uint64, n)
-    size = min(n, SHINGLE)
-    s = np.full(n - size + 1, size, np.uint64)
-    for k in range(size):
-        s = s * _ODD + h[k : n - size + 1 + k]
-    s ^= s >> np.uint64(31)
-    s *= np.uint64(0xBF58476D1CE4E5B9)
-    s ^= s >> np.uint64(29)
-    return np.unique(s)
-
-
-def digest_of(s: np.ndarray) -> int:
-    return int.from_bytes(blake2b(s.tobytes(), digest_size=8).digest(), "little", signed=True)
+HOT, BLOCK, STRETCH, RECUR = 200_000, 4000, 2_000_000, 4
+BROADCAST_ROWS = 1_000_000
+SIEVE = 22  # bits of the table that sorts out shingles that are not hot
 
 
 def shared_least(n: int) -> int:
@@ -91,191 +61,122 @@ def prefix_length(n: int) -> int:
     return n - -(-3 * n // 4) + shared_least(n)
 
 
-def links(a: int, b: int, common: int) -> bool:
-    return 100 * common >= 75 * (a + b - common)
-
-
 def _long(a: np.ndarray) -> np.ndarray:
     return a.view(np.int64)
 
 
+def _batch(**columns: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c) for c in columns.values()], names=list(columns))
+
+
 def set_rows(docs: DataFrame) -> DataFrame:
-    """kind 0: (id, n, node) for each document; kind 1: (shingle, count) recurring within a stretch."""
+    """kind 0: (id, key, n, node) for each document; kind 1: (shingle, -, count) recurring within a stretch."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] = []
         size = 0
 
-        def recurring() -> pd.DataFrame:
+        def recurring() -> pa.RecordBatch:
             s, n = np.unique(np.concatenate(held), return_counts=True)
             often = n >= RECUR
-            return pd.DataFrame({"kind": 1, "id": _long(s[often]), "n": n[often], "node": 0})
+            none = np.zeros(often.sum(), np.int64)
+            return _batch(kind=np.ones(len(none), np.int32), id=_long(s[often]), key=none, n=n[often].astype(np.int64), node=none)
 
         for b in batches:
-            sets = [shingles(t) for t in b["t"]]
-            yield pd.DataFrame({"kind": 0, "id": b["id"], "n": [len(s) for s in sets], "node": [digest_of(s) for s in sets]})
-            for s in sets:
-                held.append(s)
-                size += len(s)
+            for at, sets in shingle_sets(b.column("t")):
+                part = b.slice(at, len(sets))
+                n = np.fromiter(map(len, sets), np.int64, len(sets))
+                node = np.fromiter(map(digest_of, sets), np.int64, len(sets))
+                yield pa.RecordBatch.from_arrays([pa.array(np.zeros(len(sets), np.int32)), part.column("id"), part.column("key"), pa.array(n), pa.array(node)], names=["kind", "id", "key", "n", "node"])
+                held += sets
+                size += int(n.sum())
                 if size >= STRETCH:
                     yield recurring()
                     held, size = [], 0
         if size:
             yield recurring()
 
-    return docs.mapInPandas(run, "kind int, id long, n long, node long")
+    return docs.mapInArrow(run, "kind int, id long, key long, n long, node long")
 
 
 def block_rows(docs: DataFrame, hot: tuple[np.ndarray, np.ndarray]) -> DataFrame:
     """(sig, node): the rarest shingles of every set; each set once per task."""
     shared = docs.sparkSession.sparkContext.broadcast(hot)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, counts = shared.value
+        sieve, low = np.zeros(1 << SIEVE, bool), np.uint64((1 << SIEVE) - 1)
+        sieve[(known & low).astype(np.int64)] = True
         done: set[int] = set()
+
+        def prefix(s: np.ndarray) -> np.ndarray:
+            p = prefix_length(len(s))
+            maybe = sieve[(s & low).astype(np.int64)]
+            if not maybe.any():
+                return s[:p]
+            rank = np.zeros(len(s), np.int64)
+            at = np.minimum(np.searchsorted(known, s[maybe]), len(known) - 1)
+            rank[maybe] = np.where(known[at] == s[maybe], counts[at], 0)
+            return s[np.argsort(rank, kind="stable")[:p]]
+
         for b in batches:
-            sigs, nodes = [], []
-            for t in b["t"]:
-                s = shingles(t)
-                node = digest_of(s)
-                if not len(s) or node in done:
-                    continue
-                if len(done) < 1_000_000:
-                    done.add(node)
-                p = prefix_length(len(s))
-                if len(known):
-                    at = np.minimum(np.searchsorted(known, s), len(known) - 1)
-                    rank = np.where(known[at] == s, counts[at], 0)
-                    s = s[np.argsort(rank, kind="stable")]
-                sigs.append(_long(s[:p]))
-                nodes.append(np.full(p, node, np.int64))
-            if sigs:
-                sig, node = np.concatenate(sigs), np.concatenate(nodes)
-                for i in range(0, len(sig), 500_000):
-                    yield pd.DataFrame({"sig": sig[i : i + 500_000], "node": node[i : i + 500_000]})
-
-    return docs.mapInPandas(run, "sig long, node long")
+            for _, sets in shingle_sets(b.column("t")):
+                sigs, nodes = [], []
+                for s in sets:
+                    node = digest_of(s)
+                    if len(s) and node not in done:
+                        if len(done) < 1_000_000:
+                            done.add(node)
+                        sigs.append(prefix(s))
+                        nodes.append(node)
+                if sigs:
+                    yield _batch(sig=_long(np.concatenate(sigs)), node=np.repeat(np.array(nodes, np.int64), [len(s) for s in sigs]))
+
+    return docs.mapInArrow(run, "sig long, node long")
 
 
 def set_table(docs: DataFrame) -> DataFrame:
     """(node, n, items, bits): whole sets and bitmaps of the given documents."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for i in range(0, len(b), 500):
-                sets = [shingles(t) for t in b["t"].iloc[i : i + 500]]
-                yield pd.DataFrame({"node": [digest_of(s) for s in sets], "n": [len(s) for s in sets], "items": [s.tobytes() for s in sets], "bits": [bitmap(s) for s in sets]})
-
-    return docs.mapInPandas(run, "node long, n long, items binary, bits binary")
-
-
-def bitmap(s: np.ndarray) -> bytes:
-    """At least four bits for each shingle; the width is a power of two."""
-    width = max(64, 1 << (4 * len(s) - 1).bit_length())
-    flags = np.zeros(width, bool)
-    flags[(s & np.uint64(width - 1)).astype(np.int64)] = True
-    return np.packbits(flags).tobytes()
-
-
-def fold(bits: np.ndarray, width: int) -> np.ndarray:
-    """The bitmap the same set has at a smaller width."""
-    while len(bits) > width:
-        bits = bits[: len(bits) // 2] | bits[len(bits) // 2 :]
-    return bits
-
-
-_POP = np.array([bin(i).count("1") for i in range(256)], np.uint8)
-
-
-class Tree:
-    """Binary signature tree over documents sorted by size."""
-
-    __slots__ = ("bits", "clash", "kids", "label", "low", "high", "row", "sides")
-
-    def __init__(self, rows: list[tuple], at: int, end: int):
-        if end - at == 1:
-            node, n, bits, label, side = rows[at]
-            self.bits, self.low, self.high, self.label, self.row, self.kids, self.sides = bits, n, n, label, rows[at], None, {side}
-            self.clash = n - int(_POP[bits].sum())
-            return
-        mid = (at + end) // 2
-        self.kids = (Tree(rows, at, mid), Tree(rows, mid, end))
-        a, b = self.kids
-        width = min(len(a.bits), len(b.bits))
-        self.bits = fold(a.bits, width) | fold(b.bits, width)
-        # shingles beyond the first on a bit: counted again at the smaller width by the members' sizes
-        self.clash = max(a.clash_at(width), b.clash_at(width))
-        self.low, self.high, self.row = a.low, b.high, None
-        self.label = a.label if a.label == b.label else None
-        self.sides = a.sides | b.sides
-
-    def clash_at(self, width: int) -> int:
-        if len(self.bits) == width:
-            return self.clash
-        if self.kids is None:
-            return self.row[1] - int(_POP[fold(self.bits, width)].sum())
-        return max(k.clash_at(width) for k in self.kids)
-
-
-def candidate_pairs(rows: list[tuple], cross: bool = False) -> Iterator[tuple[int, int]]:
-    """Pairs of nodes of different labels that may link.  rows: (node, n, bits, label, side)."""
-    rows = sorted(rows, key=lambda r: (r[1], r[3], r[0]))
-    if len(rows) < 2:
-        return
-    root = Tree(rows, 0, len(rows))
-    stack = [(root, root)]
-    while stack:
-        a, b = stack.pop()
-        if a.label is not None and a.label == b.label:
-            continue
-        if cross and len(a.sides | b.sides) == 1:
-            continue
-        if a is b:
-            if a.kids:
-                x, y = a.kids
-                stack += [(x, x), (y, y), (x, y)]
-            continue
-        need = -(-3 * max(a.low, b.low) // 4)
-        if min(a.high, b.high) < need:
-            continue
-        width = min(len(a.bits), len(b.bits))
-        overlap = int(_POP[fold(a.bits, width) & fold(b.bits, width)].sum())
-        if overlap + min(a.clash_at(width), b.clash_at(width)) < need:
-            continue
-        if a.kids is None and b.kids is None:
-            x, y = fold(a.bits, width), fold(b.bits, width)
-            # each bit of one that the other lacks is a shingle that the other lacks
-            most = min(a.low - int(_POP[x & ~y].sum()), b.low - int(_POP[y & ~x].sum()))
-            if links(a.low, b.low, most):
-                yield min(a.row[0], b.row[0]), max(a.row[0], b.row[0])
-        elif b.kids is None or (a.kids is not None and a.high - a.low >= b.high - b.low):
-            stack += [(k, b) for k in a.kids]
-        else:
-            stack += [(a, k) for k in b.kids]
+            for _, sets in shingle_sets(b.column("t")):
+                columns = [pa.array([digest_of(s) for s in sets], pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary()), pa.array([bitmap(s) for s in sets], pa.binary())]
+                yield pa.RecordBatch.from_arrays(columns, names=["node", "n", "items", "bits"])
+
+    return docs.mapInArrow(run, "node long, n long, items binary, bits binary")
 
 
 def tree_join(rows: DataFrame) -> DataFrame:
-    """Candidate (a, b) of every block.  rows: (sig, i, j, side, node, n, bits, label)."""
+    """Candidate (a, b) of every tree.  rows: (sig, i, j, side, node, n, bits, label); where i < j only sides that differ."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        key = None
+
+        def join() -> Iterator[pa.RecordBatch]:
+            t = pa.Table.from_batches(held)
+            column = lambda c: t[c].to_numpy()
+            for a, b in candidate_pairs(column("node"), column("n"), t["bits"].to_pylist(), column("label"), column("side").astype(np.int64), key[1] != key[2]):
+                yield _batch(a=a, b=b)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        key, held, out = None, [], []
         for b in batches:
-            for sig, i, j, side, node, n, bits, label in zip(*(b[c].tolist() for c in ("sig", "i", "j", "side", "node", "n", "bits", "label")), strict=True):
-                if (sig, i, j) != key:
+            keys = [b.column(c).to_numpy() for c in ("sig", "i", "j")]
+            new = np.flatnonzero(np.logical_or.reduce([k[1:] != k[:-1] for k in keys])) + 1
+            for first, end in zip([0, *new.tolist()], [*new.tolist(), b.num_rows], strict=True):
+                if first == end:
+                    continue
+                own = tuple(int(k[first]) for k in keys)
+                if own != key:
                     if held:
-                        out += candidate_pairs(held, key[1] != key[2])
-                    key, held = (sig, i, j), []
-                    if len(out) > 100_000:
-                        yield pd.DataFrame(list(dict.fromkeys(out)), columns=["a", "b"])
-                        out = []
-                held.append((node, n, np.frombuffer(bits, np.uint8), label, side))
+                        yield from join()
+                    key, held = own, []
+                held.append(b.slice(first, end - first))
         if held:
-            out += candidate_pairs(held, key[1] != key[2])
-        if out:
-            yield pd.DataFrame(list(dict.fromkeys(out)), columns=["a", "b"])
+            yield from join()
 
     dealt = rows.repartition("sig", "i", "j").sortWithinPartitions("sig", "i", "j")
-    return dealt.mapInPandas(run, "a long, b long").distinct()
+    return dealt.mapInArrow(run, "a long, b long").distinct()
 
 
 def verify(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -310,7 +211,8 @@ def label_nodes(edges: DataFrame, rounds: int = 40) -> DataFrame:
     edges = materialize(edges.where("a != b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "links")
     before = mark(edges)
     for _ in range(rounds):
-        edges = materialize(star(star(edges, True), False), "stars")
+        last, edges = edges, materialize(star(star(edges, True), False), "stars")
+        drop(last)
         after = mark(edges)
         if after == before:
             break
@@ -328,51 +230,103 @@ def hot_shingles(rows: DataFrame, most: int = HOT) -> tuple[np.ndarray, np.ndarr
     return s[order], top["n"].to_numpy(np.int64)[order]
 
 
-def components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_shingles, component_id for every row."""
-    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("t"))
-    rows = materialize(set_rows(texts), "shingle-sets")
-    owners = rows.where("kind = 0").select("id", "n", "node")
-    blocks = block_rows(texts, hot_shingles(rows))
+def _need(n: F.Column) -> F.Column:
+    """shared_least of the smallest size a node may link with."""
+    return F.greatest(F.lit(1), F.floor(F.ceil(F.ceil(n * 0.75) * 0.75) / 10))
+
+
+def _of_several(rows: DataFrame, column: str) -> DataFrame:
+    """The rows of blocks that hold more than one value of ``column``."""
     by_sig = Window.partitionBy("sig")
-    first = owners.where("n > 0").groupBy("node").agg(F.min("id").alias("first_id"), F.first("n").alias("n"))
-    blocks = blocks.select("sig", "node", F.min("node").over(by_sig).alias("low"), F.max("node").over(by_sig).alias("high"))
-    blocks = materialize(blocks.where("low != high").select("sig", "node").distinct(), "blocks")
-    # shared_least of the smallest size a node may link with
-    need = F.greatest(F.lit(1), F.floor(F.ceil(F.ceil(F.col("n") * 0.75) * 0.75) / 10))
+    return rows.withColumns({"low": F.min(column).over(by_sig), "high": F.max(column).over(by_sig)}).where("low != high").drop("low", "high")
+
+
+def _enough(rows: DataFrame, sizes: DataFrame) -> DataFrame:
+    """The rows of nodes in enough blocks, with c (number of blocks) and n."""
+    counts = rows.groupBy("node").agg(F.count(F.lit(1)).alias("c")).join(sizes, "node")
+    return rows.join(counts.where(F.col("c") >= _need(F.col("n"))), "node")
+
+
+def hub_trees(blocks: DataFrame, sets: DataFrame, chunk: int = BLOCK) -> DataFrame:
+    """Rows of the trees around hubs: side 0 the hub, side 1 nodes that meet it.  blocks: (sig, node, hub)."""
+    met = blocks.where("node != hub").groupBy("node", "hub").agg(F.count(F.lit(1)).alias("c"))
+    by_node = Window.partitionBy("node").orderBy(F.desc("c"), "hub")
+    star = met.withColumn("r", F.row_number().over(by_node)).where("r <= 2").select("node", "hub")
+    sizes = star.groupBy("hub").agg(F.ceil(F.count(F.lit(1)) / chunk).cast("int").alias("chunks"))
+    members = star.join(sizes, "hub").select(F.col("hub").alias("sig"), F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int").alias("i"), F.lit(1).alias("side"), "node")
+    hubs = sizes.select(F.col("hub").alias("sig"), F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("i"), F.lit(0).alias("side"), F.col("hub").alias("node"))
+    rows = members.unionByName(hubs).join(sets.select("node", "n", "bits"), "node")
+    return rows.select("sig", "i", (F.col("i") + 1).alias("j"), "side", "node", "n", "bits", F.col("node").alias("label"))
+
+
+def block_trees(blocks: DataFrame, sets: DataFrame, chunk: int = BLOCK) -> DataFrame:
+    """Rows of the trees of blocks.  blocks: (sig, node, n, label, c) of blocks of several labels; c: in how many a node is."""
+    sized = blocks.withColumn("size", F.count(F.lit(1)).over(Window.partitionBy("sig")))
+    order = Window.partitionBy("node").orderBy("size", "sig")
+    first = sized.withColumn("r", F.row_number().over(order)).where(F.col("r") <= F.col("c") - _need(F.col("n")) + 1).select("sig", "node", "n", "label")
+    first = materialize(_of_several(first, "label").withColumn("size", F.count(F.lit(1)).over(Window.partitionBy("sig"))), "labelled-blocks")
+    # blocks of the same nodes need one look: passages give many of them
+    same = first.groupBy("sig").agg(F.count(F.lit(1)).alias("m"), F.bit_xor(F.xxhash64("node")).alias("x"), F.bit_xor(F.xxhash64("node", F.lit(7))).alias("y"))
+    rows = first.join(same.groupBy("m", "x", "y").agg(F.min("sig").alias("sig")).select("sig"), "sig", "left_semi")
+    # a size band is 4/3 wide, so sets that link are in the same or in neighbouring bands
+    large = F.col("size") > chunk
+    band = F.when(large, F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(4 / 3)))).otherwise(0).cast("int")
+    rows = rows.withColumn("band", band)
+    of_band = rows.where(large).groupBy("sig", "band").agg(F.ceil(F.count(F.lit(1)) / chunk).cast("int").alias("chunks"))
+    at = of_band.withColumn("before", F.coalesce(F.lag(F.struct("band", "chunks")).over(Window.partitionBy("sig").orderBy("band")), F.struct(F.lit(-9).alias("band"), F.lit(0).alias("chunks"))))
+    at = at.withColumn("after", F.coalesce(F.lead(F.struct("band", "chunks")).over(Window.partitionBy("sig").orderBy("band")), F.struct(F.lit(-9).alias("band"), F.lit(0).alias("chunks"))))
+    # numbers of a block's chunks: band by band
+    at = at.withColumn("base", F.sum("chunks").over(Window.partitionBy("sig").orderBy("band")) - F.col("chunks"))
+    low = F.when(F.col("before.band") == F.col("band") - 1, F.col("base") - F.col("before.chunks")).otherwise(F.col("base"))
+    high = F.when(F.col("after.band") == F.col("band") + 1, F.col("base") + F.col("chunks") + F.col("after.chunks")).otherwise(F.col("base") + F.col("chunks"))
+    at = at.select("sig", "band", "chunks", "base", low.alias("from"), (high - 1).alias("to"))
+    small = rows.where(~large).select("sig", F.lit(0).alias("i"), F.lit(0).alias("j"), F.lit(0).alias("side"), "node", "n", "label")
+    big = rows.where(large).join(at, ["sig", "band"]).withColumn("side", (F.col("base") + F.pmod(F.xxhash64("node"), F.col("chunks"))).cast("int"))
+    big = big.withColumn("o", F.explode(F.sequence(F.col("from").cast("int"), F.col("to").cast("int"))))
+    big = big.select("sig", F.least("side", "o").alias("i"), F.greatest("side", "o").alias("j"), "side", "node", "n", "label")
+    return small.unionByName(big).join(sets.select("node", "bits"), "node")
+
+
+def classes(docs: DataFrame, key: F.Column | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """id, key, n, class for every row; rows of one class (null: an empty set) are linked, directly or by others.
+
+    ``key``: a long that tells rows of one id apart, such as a hash of their texts.
+    """
+    texts = docs.select(F.col(id_col).cast("long").alias("id"), (F.lit(0) if key is None else key).cast("long").alias("key"), F.col(text_col).alias("t"))
+    rows = materialize(set_rows(texts), "shingle-sets")
+    owners = rows.where("kind = 0").select("id", "key", "n", "node")
+    blocks = block_rows(texts.select("t"), hot_shingles(rows))
+    # the node that stands for equal sets is read from one of their documents
+    first = owners.where("n > 0").groupBy("node").agg(F.min(F.struct("id", "key")).alias("first"), F.first("n").alias("n"))
+    sizes = first.select("node", "n")
+    blocks = materialize(_of_several(blocks, "node").distinct(), "blocks")
     for k in range(2):
-        counts = blocks.groupBy("node").agg(F.count(F.lit(1)).alias("c"))
+        score = F.least(F.lit(1000), F.floor(F.col("c") * 1000 / F.col("n")))
         # the share of its shingles that a node has in blocks: an original shares all, an edited copy not its edits
-        able = counts.join(first.select("node", "n"), "node").where(F.col("c") >= need).select("node", F.least(F.lit(1000), F.floor(F.col("c") * 1000 / F.col("n"))).alias("score"))
-        blocks = blocks.select("sig", "node").join(able, "node")
-        blocks = blocks.select("sig", "node", F.max(F.struct("score", "node")).over(by_sig).alias("best"), F.min("node").over(by_sig).alias("low"), F.max("node").over(by_sig).alias("high"))
-        blocks = materialize(blocks.where("low != high").select("sig", "node", F.col("best.node").alias("hub")), f"blocks-{k}")
-    # whole sets of the nodes that are left, each read from its first document
-    wanted = materialize(first.join(blocks.select("node").distinct(), "node", "left_semi").select("first_id"), "wanted")
+        able = _enough(blocks.select("sig", "node"), sizes).withColumn("best", F.max(F.struct(score.alias("score"), "node")).over(Window.partitionBy("sig")))
+        last, blocks = blocks, materialize(_of_several(able.select("sig", "node", F.col("best.node").alias("hub")), "node"), f"blocks-{k}")
+        drop(last)
+    wanted = materialize(first.join(blocks.select("node").distinct(), "node", "left_semi").select(F.col("first.id").alias("w_id"), F.col("first.key").alias("w_key")), "wanted")
     keys = F.broadcast(wanted) if wanted.count() <= BROADCAST_ROWS else wanted
-    sets = materialize(set_table(texts.join(keys, F.col("id") == F.col("first_id"), "left_semi")), "sets")
-    # stars: the two hubs met in most blocks
-    met = blocks.where("node != hub").groupBy("node", "hub").agg(F.count(F.lit(1)).alias("c"))
-    by_node = Window.partitionBy("node").orderBy(F.desc("c"), "hub")
-    star = met.withColumn("r", F.row_number().over(by_node)).where("r <= 2")
-    pairs = star.select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b")).distinct()
-    near = materialize(verify(pairs, sets), "star-links")
+    of_wanted = texts.join(keys, F.col("id").eqNullSafe(F.col("w_id")) & (F.col("key") == F.col("w_key")), "left_semi")
+    sets = materialize(set_table(of_wanted.select("t")).dropDuplicates(["node"]), "sets")
+    near = materialize(verify(tree_join(hub_trees(blocks, sets)), sets), "hub-links")
     labels = label_nodes(near)
-    # trees: blocks with several labels
     named = blocks.select("sig", "node").join(labels, "node", "left").select("sig", "node", F.coalesce("label", "node").alias("label"))
-    named = named.select("*", F.min("label").over(by_sig).alias("low"), F.max("label").over(by_sig).alias("high"), F.count(F.lit(1)).over(by_sig).alias("c"))
-    named = materialize(named.where("low != high").drop("low", "high"), "labelled-blocks")
-    # blocks of the same nodes need one look: passages give many of them
-    same = named.groupBy("sig").agg(F.count(F.lit(1)).alias("m"), F.bit_xor(F.xxhash64("node")).alias("x"), F.bit_xor(F.xxhash64("node", F.lit(7))).alias("y"))
-    named = named.join(same.groupBy("m", "x", "y").agg(F.min("sig").alias("sig")).select("sig"), "sig", "left_semi")
-    named = named.join(sets.select("node", "n", "bits"), "node")
-    chunks = F.ceil(F.col("c") / BLOCK).cast("int")
-    named = named.withColumn("side", F.pmod(F.xxhash64("node"), chunks).cast("int")).withColumn("o", F.explode(F.sequence(F.lit(0), chunks - 1)))
-    named = named.select("sig", F.least("side", "o").alias("i"), F.greatest("side", "o").alias("j"), "side", "node", "n", "bits", "label")
-    more = verify(tree_join(named), sets)
+    # a link that is left lies in k blocks of several labels
+    named = _of_several(_enough(_of_several(named, "label"), sizes).drop("c", "n"), "label")
+    named = materialize(_enough(named, sizes), "unsettled-blocks")
+    more = verify(tree_join(block_trees(named, sets)), sets)
     labels = label_nodes(near.unionByName(more))
-    named = first.select("node", "first_id").join(labels, "node", "left").select("node", "first_id", F.coalesce("label", "node").alias("label"))
-    smallest = named.groupBy("label").agg(F.min("first_id").alias("component_id"))
-    of_node = named.join(smallest, "label").select("node", "component_id")
-    out = owners.join(of_node, "node", "left")
-    return out.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("id")).alias("component_id"))
+    of_node = first.select("node").join(labels, "node", "left").select("node", F.coalesce("label", "node").alias("class"))
+    return owners.join(of_node, "node", "left").select("id", "key", "n", "class")
+
+
+def components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, n_shingles, component_id for every row."""
+    rows = materialize(classes(docs, None, id_col, text_col), "classes")
+    # a class may hold a large part of all rows: its name is broadcast where classes of several rows are few
+    several = materialize(rows.where("class is not null").groupBy("class").agg(F.min("id").alias("component_id"), F.count(F.lit(1)).alias("c")).where("c > 1").drop("c"), "class-names")
+    names = F.broadcast(several) if several.count() <= BROADCAST_ROWS else several
+    out = rows.join(names, "class", "left")
+    return out.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), F.coalesce("component_id", "id").alias("component_id"))

@@ -7,19 +7,23 @@ the mean number of terms, so at most mean / ``LOW_SHARE`` terms (some 25,000) re
 however large the corpus.  It is read as a scalar subquery and intersected with each text's terms in
 place, so texts never move for it.
 
-The sorted lexicon terms of a text fall into ``GROUPS`` ** 2 random sub-lexicons; each non-empty one
-is hashed.  A fingerprint lists these hashes.  Likeness of two fingerprints is the share of
-sub-lexicons with equal hashes among those that are not empty on both sides.
+Randomised lexicons: ``GROUPS`` seeded draws keep a quarter of the lexicon each, and each of them is thinned
+by ``len(RATES)`` further draws, so there are 64 overlapping random subsets of the lexicon, which keep a term
+with probability 1/16 to 1/128.  A text's terms in a subset, sorted, are hashed.  A fingerprint lists these
+hashes; likeness of two fingerprints is the share of equal hashes among the subsets that are not
+empty on both sides.  (Subsets that keep most terms, as used against single-word changes, would tell
+a text with a third replaced from a foreign one no better than chance: any change alters their hash.)
 
 A text without lexicon terms uses all its terms, and one without terms its whole text, so equal
 texts always have equal fingerprints and likeness 1.
 
-Neighbours (next document by descending id) come from one shuffle by id range: documents are dealt
-into ranges of about ``RANGE_ROWS`` ids, each range also receives a copy of the first document of the
-next lower non-empty range, and a window inside the range reads the next text.
+Neighbours (next document by descending id) come from one shuffle by id range: at most ``RANGES`` ranges
+between quantiles of the ids, about ``RANGE_ROWS`` documents each; each range also receives a copy of
+the first document of the next lower non-empty range, and a window inside the range reads the next text.
 
-Defined results: null text counts as empty; a single document is its own next; among equal ids the
-order is by text; other columns are ignored.
+Defined results: null text counts as empty; very long texts count whole; a single document is its own
+next; among equal ids the order is by text, so repeated rows follow each other; a null id is the
+lowest; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -29,7 +33,8 @@ from pyspark.sql import functions as F
 
 from weftline.llm.store import materialize
 
-LOW_SHARE, HIGH_SHARE, GROUPS, RANGE_ROWS = 0.01, 0.5, 8, 1000
+LOW_SHARE, HIGH_SHARE, GROUPS, RATES = 0.01, 0.2, 8, (4, 8, 16, 16, 16, 32, 32, 32)
+RANGE_ROWS, RANGES = 4000, 4096
 NONE = "-" * 8
 
 
@@ -58,21 +63,18 @@ def _chosen(rows: DataFrame, text: str, lex: DataFrame) -> DataFrame:
 
 
 def _hashed(rows: DataFrame, out: str) -> DataFrame:
-    """``rows`` with w_chosen replaced by ``out``: hash of the terms in each sub-lexicon, or dashes.
-
-    Terms are dealt to eight groups and each group to eight sub-lexicons, so a term is looked at 16 times.
-    """
-    part = lambda t, by: F.pmod(F.shiftright(t, by), F.lit(GROUPS))
+    """``rows`` with w_chosen replaced by ``out``: hash of the terms in each random subset, or dashes."""
     groups = [f"w_group{k}" for k in range(GROUPS)]
-    rows = rows.withColumns({g: F.filter("w_chosen", lambda t: part(t, 24) == k) for k, g in enumerate(groups)})
+    drawn = lambda k: F.transform("w_chosen", lambda t: F.xxhash64(t, F.lit(k)))
+    rows = rows.withColumns({g: F.filter(drawn(k), lambda h: h.bitwiseAND(F.lit(3)) == 0) for k, g in enumerate(groups)})
 
-    def one(group: str, k: int) -> Column:
-        own = F.filter(group, lambda t: part(t, 36) == k)
+    def one(group: str, k: int, rate: int) -> Column:
+        own = F.filter(group, lambda h: F.shiftright(h, 8 + 7 * k).bitwiseAND(F.lit(rate - 1)) == 0)
         low = F.xxhash64(own).bitwiseAND(F.lit(0xFFFFFFFF))
         return F.when(F.size(own) > 0, F.lower(F.lpad(F.hex(low), 8, "0"))).otherwise(F.lit(NONE))
 
     # groups are referred to often, so the optimizer computes each once
-    return rows.withColumn(out, F.array(*[one(g, k) for g in groups for k in range(GROUPS)])).drop("w_chosen", *groups)
+    return rows.withColumn(out, F.array(*[one(g, k, rate) for g in groups for k, rate in enumerate(RATES)])).drop("w_chosen", *groups)
 
 
 def likeness(a: Column, b: Column) -> Column:
@@ -87,20 +89,32 @@ def fingerprints(docs: DataFrame, lex: DataFrame, id_col: str = "doc_id", text_c
     return _hashed(_chosen(rows, "t", lex), "f")
 
 
-def with_next(rows: DataFrame, key: str = "doc_id", columns: tuple[str, ...] = ("t", "f")) -> DataFrame:
+def id_ranges(rows: DataFrame, key: str, range_rows: int = RANGE_ROWS, most: int = RANGES) -> Column:
+    """Number of a row's range: how many of the quantiles lie at or below its id.  Reads the ids only."""
+    count = rows.count()
+    wanted = min(most, -(-count // range_rows))
+    if wanted < 2:
+        return F.lit(0)
+    shares = [k / wanted for k in range(1, wanted)]
+    cuts = sorted({c for c in rows.agg(F.percentile_approx(key, shares, 10 * wanted)).first()[0] or []})
+    if not cuts:
+        return F.lit(0)
+    table = F.split(F.lit(",".join(map(str, cuts))), ",").cast("array<bigint>")
+    steps = F.array(*[F.lit(1 << k) for k in reversed(range(len(cuts).bit_length()))])
+    seek = lambda at, step: F.when(F.try_element_at(table, at + step) <= F.col(key), at + step).otherwise(at)
+    return F.aggregate(steps, F.lit(0), seek)
+
+
+def with_next(rows: DataFrame, key: str = "doc_id", columns: tuple[str, ...] = ("t", "f"), part: Column | None = None) -> DataFrame:
     """``rows`` plus next_<c> of the next row by descending key (after the last, the first)."""
-    span = rows.agg(F.min(key).alias("low"), F.max(key).alias("high"), F.count(F.lit(1)).alias("n")).first()
-    low, high, n = span["low"], span["high"], span["n"]
-    width = 1 if low is None else max(1, -(-(high - low + 1) * RANGE_ROWS // max(1, n)))
-    base = 0 if low is None else low
-    part = F.floor((F.coalesce(F.col(key), F.lit(base)) - F.lit(base)) / F.lit(width)).cast("long")
+    rows = rows.withColumn("p", F.lit(0) if part is None else part)
     # one row per range: the id of its first document, and the range above that must see it
-    ranges = rows.select(part.alias("p"), F.coalesce(F.col(key), F.lit(base)).alias("k")).groupBy("p").agg(F.max("k").alias("first_id"))
-    order = Window.orderBy(F.col("p"))
+    ranges = rows.groupBy("p").agg(F.max(key).alias("first_id"))
+    order = Window.orderBy("p")  # at most RANGES + 1 rows
     above = F.coalesce(F.lead("p").over(order), F.min("p").over(Window.partitionBy()))
-    ranges = materialize(ranges.select("first_id", above.alias("above")), "id-ranges")
-    dealt = rows.withColumn("p", part).join(ranges, F.coalesce(F.col(key), F.lit(base)) == F.col("first_id"), "left")
-    copies = F.when(F.col("first_id").isNull(), F.array(F.struct(F.col("p").alias("p"), F.lit(0).alias("copy")))).otherwise(
+    ranges = materialize(ranges.select(F.col("p").alias("r"), "first_id", above.alias("above")), "id-ranges")
+    dealt = rows.join(F.broadcast(ranges), (F.col("p") == F.col("r")) & F.col(key).eqNullSafe(F.col("first_id")), "left")
+    copies = F.when(F.col("above").isNull(), F.array(F.struct(F.col("p").alias("p"), F.lit(0).alias("copy")))).otherwise(
         F.array(F.struct(F.col("p").alias("p"), F.lit(0).alias("copy")), F.struct(F.col("above").alias("p"), F.lit(1).alias("copy")))
     )
     dealt = dealt.select(key, *columns, F.explode(copies).alias("d")).select(key, *columns, "d.p", "d.copy")
@@ -110,7 +124,8 @@ def with_next(rows: DataFrame, key: str = "doc_id", columns: tuple[str, ...] = (
 
 def digest(docs: DataFrame) -> DataFrame:
     lex = materialize(lexicon(docs), "lexicon")
-    rows = with_next(fingerprints(docs, lex))
+    part = id_ranges(docs.select("doc_id"), "doc_id")
+    rows = with_next(fingerprints(docs, lex), part=part)
     n = F.char_length("t")
     third = F.floor(n / 3).cast("int")
     edited = F.concat(F.substring(F.col("t"), F.lit(1), n - third), F.substring(F.col("next_t"), F.lit(1), third))

@@ -33,8 +33,9 @@ def op2_decontaminate_(spark: SparkSession, sf: str) -> DataFrame:
 
 def op3_quality_(spark: SparkSession, sf: str) -> DataFrame:
     docs = table(spark, sf, "documents")
-    model = op3_quality.fit_quality(docs, op3_quality.graded(table(spark, sf, "labels")), 3)
-    return op3_quality.score_quality(docs, model)
+    grades = op3_quality.graded(table(spark, sf, "labels")).where(~op3_quality.held_out())
+    model = op3_quality.fit_quality(docs, grades, 3)
+    return op3_quality.score_quality(docs, model).withColumn("held_out", op3_quality.held_out())
 
 
 def op4_mixing_(spark: SparkSession, sf: str) -> DataFrame:

@@ -6,10 +6,14 @@ gaps; one weight vector is shared by all thresholds.  x is the set of a text's h
 the tail probability P(grade >= top) serve selection.
 
 Fitted on the driver with a bounded sample of graded rows (``MAX_TRAIN``, lowest hash of the
-id first, so reruns agree); every row is then scored in one narrow pass.
-
-Defined results: null or empty texts have only shape features and get a score like any other;
-fewer than two distinct grades in the sample fit to the prior (weights 0).
+id first, so reruns agree); their texts are hashed on the executors, and of each the driver gets the
+feature numbers only (at most 2**BITS, in practice its distinct words).  Every row is then scored in
+one narrow pass over whole texts.  ``held_out`` rows (crc32 of the id as text divisible by 5) never train.
+
+Defined results: null or empty texts have only shape features and get a score like any other, very
+long ones count whole; fewer than two distinct grades in the sample, or an empty table, fit to the
+prior (weights 0); of several grades of one id the highest counts, and every row of that id trains;
+repeated rows get the same score; equal scores need no order; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -117,10 +121,20 @@ def fit_quality(docs: DataFrame, grades: DataFrame, n_grades: int, max_train: in
         .groupBy(F.col(id_col).alias("i")).agg(F.max(grade_col).cast("int").alias("g"))
         .orderBy(F.xxhash64("i"), "i").limit(max_train)
     )
+
+    def hashed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            yield pd.DataFrame({"d": b["d"], "g": b["g"], "f": [np.sort(features(t)) for t in b["t"]]})
+
     # bounded by max_train rows of two numbers
     rows = docs.select(F.col(id_col).alias("d"), F.col(text_col).alias("t")).join(F.broadcast(chosen), F.col("d") == F.col("i"))
-    got = rows.select("d", "t", "g").orderBy(F.xxhash64("d"), "d").toPandas()
-    return Ordinal.fit([features(t) for t in got["t"]], got["g"].to_numpy(np.int64), n_grades)
+    kind = docs.schema[id_col].dataType.simpleString()
+    got = rows.select("d", "g", "t").mapInPandas(hashed, f"d {kind}, g int, f array<int>").orderBy(F.xxhash64("d"), "d", F.xxhash64("f")).limit(max_train).toPandas()
+    return Ordinal.fit([np.asarray(f, np.int64) for f in got["f"]], got["g"].to_numpy(np.int64), n_grades)
+
+
+def held_out(id_col: str = "doc_id"):
+    return F.coalesce(F.crc32(F.col(id_col).cast("string")) % 5 == 0, F.lit(False))
 
 
 def score_quality(docs: DataFrame, model: Ordinal, min_tail: float = 0.5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -2,7 +2,7 @@
 
 Base spans (email, ip, card, phone) come from fixed patterns and checks and always stay.  Further
 candidates (account numbers that fail the card check, phone numbers without a country code,
-credentials) are kept or dropped by a span classifier: four labelers (strict shape, gazetteer,
+credentials, bank account and social security numbers) are kept or dropped by a span classifier: four labelers (strict shape, gazetteer,
 context words, clean edges) vote -1, 0 or +1 on every candidate; expectation-maximisation over the
 table of vote patterns estimates each labeler's reliability without labels; a logistic span
 classifier is then trained on the posteriors and applied as a column expression.
@@ -14,8 +14,10 @@ Positions: matches and the pieces between them (split by the same pattern) alter
 lengths give offsets in code points in one pass over a text.  The patterns are the published ones
 with possessive repeats and run starts, which match the same spans in linear time.
 
-Defined results: null counts as empty; a document without candidates has zero counts and empty
-span lists; repeated ids stay separate rows; other columns are ignored.
+Defined results: null counts as empty; very long texts are read whole; a document without candidates has
+zero counts and empty span lists; an empty table gives an empty result; repeated rows stay separate;
+an added span may overlap another added one, never a base one; there are no ties; other columns are
+ignored.
 """
 
 from __future__ import annotations
@@ -28,7 +30,7 @@ from pyspark.sql import functions as F
 from weftline.llm.store import materialize
 
 BASE = ("email", "ip", "card", "phone")
-ADDED = ("account", "local_phone", "secret")
+ADDED = ("account", "local_phone", "secret", "iban", "ssn")
 LABELERS = ("shape", "gazetteer", "context", "edges")
 EMAIL_CLASS = "[A-Za-z0-9._%+-]"
 PATTERNS = {
@@ -38,6 +40,8 @@ PATTERNS = {
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
     "local_phone": r"(?<![0-9+.-])\(?[2-9][0-9]{2}\)?[\x20.-][0-9]{3}[\x20.-][0-9]{4}(?![0-9])",
     "secret": r"(?i)(?:token|secret|password|passwd|api_?key|access_?key)\x20?[:=]\x20?\x22[^\x22\s]{8,}\x22",
+    "iban": r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){2,7}+(?:\x20?[A-Z0-9]{1,3})?+(?![A-Za-z0-9])",
+    "ssn": r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])",
 }
 #: What a text must hold for the pattern to be worth running.
 GATES = {
@@ -47,9 +51,18 @@ GATES = {
     "phone": "instr(t, '+') > 0",
     "local_phone": r"t RLIKE '[0-9]{3}[\\x20.-][0-9]{4}'",
     "secret": "instr(t, '\"') > 0",
+    "iban": "t RLIKE '[A-Z]{2}[0-9]{2}'",
+    "ssn": r"t RLIKE '[0-9]-[0-9]{2}-[0-9]'",
 }
-TOP_DOMAINS = "com|org|net|edu|gov|info|io|de|fr|es|uk|eu|it|nl|ch|at|us|ca|br|mx|jp|cn|in|ru"
-CALLING = "1|7|20|27|30|31|32|33|34|36|39|40|41|43|44|45|46|47|48|49|51|52|54|55|56|57|61|62|63|64|65|66|81|82|84|86|90|91"
+#: Gazetteers (fixed public values): top-level domains, calling codes, card issuers' first digits, countries with IBANs.
+TOP_DOMAINS = (
+    "com|org|net|edu|gov|mil|int|info|biz|name|io|ai|app|dev|co|me|tv|cc|xyz|online|site|shop|cloud|tech|store|blog|"
+    "ac|ad|ae|al|am|ar|at|au|az|ba|bd|be|bg|bo|br|by|ca|ch|cl|cn|cr|cu|cy|cz|de|dk|do|dz|ec|ee|eg|es|eu|fi|fr|ge|gr|gt|hk|hr|hu|id|ie|il|in|iq|ir|is|it|"
+    "jo|jp|ke|kr|kw|kz|lb|li|lk|lt|lu|lv|ma|mc|md|mk|mt|mx|my|ng|ni|nl|no|np|nz|pa|pe|ph|pk|pl|pr|pt|py|qa|ro|rs|ru|sa|se|sg|si|sk|sn|sv|th|tn|tr|tw|ua|uk|us|uy|uz|ve|vn|za"
+)
+CALLING = "1|7|20|27|30|31|32|33|34|36|39|40|41|43|44|45|46|47|48|49|5[1-8]|60|61|62|63|64|65|66|81|82|84|86|9[0-58]|2[1-69][0-9]|3[578][0-9]|42[013]|5[09][0-9]|6[789][0-9]|8[0578][0-9]|9[679][0-9]"
+ISSUERS = "4|5[1-5]|2[2-7]|3[47]|3[068]|6011|64[4-9]|65|35[2-8]|62|50|5[6-9]|6[37]"
+IBAN_COUNTRIES = "AD|AE|AL|AT|AZ|BA|BE|BG|BH|BR|CH|CR|CY|CZ|DE|DK|DO|EE|EG|ES|FI|FR|GB|GE|GI|GR|HR|HU|IE|IL|IS|IT|JO|KW|KZ|LB|LI|LT|LU|LV|MC|MD|ME|MK|MT|NL|NO|PK|PL|PT|QA|RO|RS|SA|SE|SI|SK|SM|TN|TR|UA|XK"
 NEARBY = {
     "email": "mail|contact|write|reach|kontakt|courriel|correo",
     "ip": "ip|address|server|host|login|adresse|direcci",
@@ -58,6 +71,8 @@ NEARBY = {
     "account": "account|iban|card|konto|compte|cuenta|pay",
     "local_phone": "phone|call|tel|mobile|fax",
     "secret": "key|token|secret|login|credential|config",
+    "iban": "iban|account|bank|konto|compte|cuenta",
+    "ssn": "ssn|social|security|tax|insurance",
 }
 AGAINST = "version|isbn|order|page|sku|chapter|figure|serial"
 
@@ -101,6 +116,8 @@ def _shape(kind: str, v: Column) -> Column:
         "phone": F.length(digits).between(10, 13),
         "local_phone": v.rlike(r"^\(?[0-9]{3}\)?[\x20-][0-9]{3}-[0-9]{4}$"),
         "secret": v.rlike("[0-9]") & v.rlike("[A-Za-z]"),
+        "iban": F.length(F.translate(v, " ", "")).between(15, 34),
+        "ssn": ~v.rlike("-00-|0000$"),
     }[kind]
 
 
@@ -108,11 +125,13 @@ def _gazetteer(kind: str, v: Column) -> Column:
     return {
         "email": v.rlike(rf"(?i)\.(?:{TOP_DOMAINS})$"),
         "ip": ~v.rlike(r"^(?:0|10|127|255|192\.168|169\.254)\."),
-        "card": v.rlike("^[3-6]"),
-        "account": v.rlike("^[3-6]"),
+        "card": v.rlike(f"^(?:{ISSUERS})"),
+        "account": v.rlike(f"^(?:{ISSUERS})"),
         "phone": v.rlike(rf"^\+(?:{CALLING})"),
         "local_phone": ~v.rlike("^[(]?[2-9]11"),
         "secret": v.rlike("[0-9A-Za-z+/_-]{20}"),
+        "iban": v.rlike(f"^(?:{IBAN_COUNTRIES})"),
+        "ssn": ~v.rlike("^(?:000|666|9)"),
     }[kind]
 
 
@@ -137,11 +156,11 @@ def _voted(kind: str, spans: Column, base: bool) -> Column:
 def candidates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, found: array of candidates with votes; base ones first, added ones never overlap them."""
     rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("t"))
-    rows = rows.select("*", *[_spans(k).alias(k) for k in ("email", "ip", "phone", "local_phone", "secret")], _spans("card").alias("runs"))
+    rows = rows.select("*", *[_spans(k).alias(k) for k in ("email", "ip", "phone", "local_phone", "secret", "iban", "ssn")], _spans("card").alias("runs"))
     rows = rows.withColumn("runs", F.filter("runs", lambda x: F.length(_digits(x["v"])).between(13, 19)))
     luhn = lambda x: F.call_function("luhn_check", _digits(x["v"]))
     rows = rows.select(
-        "doc_id", "t", "email", "local_phone", "secret",
+        "doc_id", "t", "email", "local_phone", "secret", "iban", "ssn",
         F.filter("ip", lambda x: _is_ip(x["v"])).alias("ip"),
         F.filter("phone", lambda x: F.length(_digits(x["v"])).between(9, 15)).alias("phone"),
         F.filter("runs", luhn).alias("card"),
@@ -224,4 +243,4 @@ def digest(docs: DataFrame) -> DataFrame:
     found = find_pii(docs)
     text = lambda spans: F.array_join(F.transform(spans, lambda x: F.concat_ws(":", x["kind"], x["s"], x["e"])), ",")
     count = lambda k: F.size(F.filter("spans", lambda x: x["kind"] == k)).cast("long").alias(f"n_{k}")
-    return found.select("doc_id", *[count(k) for k in BASE], F.sha2(text(F.filter("spans", lambda x: x["base"])), 256).alias("base_sha256"), text("spans").alias("spans"))
+    return found.select("doc_id", *[count(k) for k in (*BASE, *ADDED)], F.size("spans").cast("long").alias("n_spans"), F.sha2(text(F.filter("spans", lambda x: x["base"])), 256).alias("base_sha256"), text("spans").alias("spans"))

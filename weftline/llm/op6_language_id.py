@@ -9,8 +9,11 @@ Only trigram *counts* are gathered from texts, so a bundle costs one row per dis
 Prototypes are summed by Spark as (language, dimension) rows: what reaches the driver is
 languages x dimensions numbers whatever the corpus size.
 
-Defined results: null text or a text without a letter is ``und`` with score 0; ties go to the
-language first in code point order; without any training language every text is ``und``.
+Defined results: null text or a text without a letter is ``und`` with score 0; very long texts count
+whole; ties go to the language first in code point order; without any training language every text is
+``und``; repeated rows get the same answer; an empty table gives an empty result; other columns pass
+through, and where one has the name asked for the answer, the answer's gets ``_`` appended until it is free
+(it is always the last column).
 """
 
 from __future__ import annotations
@@ -33,9 +36,9 @@ CHUNK = 1_500_000  # characters handled at once by a worker
 @lru_cache(1)
 def letter_ids() -> np.ndarray:
     """Code point -> letter id, by rank among the Unicode letters."""
-    is_letter = np.fromiter((unicodedata.category(chr(c))[0] == "L" for c in range(0x30000)), bool, 0x30000)
+    is_letter = np.fromiter((unicodedata.category(chr(c))[0] == "L" for c in range(0x110000)), bool, 0x110000)
     ids = np.zeros(0x110000, np.int64)
-    ids[:0x30000][is_letter] = np.arange(is_letter.sum()) % (LETTERS - 1) + 1
+    ids[is_letter] = np.arange(is_letter.sum()) % (LETTERS - 1) + 1
     return ids
 
 
@@ -109,7 +112,9 @@ def prototypes(docs: DataFrame, text_col: str = "text", lang_col: str = "lang")
 
 
 def identify(docs: DataFrame, model: tuple[list[str], np.ndarray], text_col: str = "text", out: str = "language") -> DataFrame:
-    """``docs`` plus ``out``: struct<lang, score>.  Only texts go to the workers; no shuffle."""
+    """``docs`` plus ``out`` as last column: struct<lang, score>.  Only texts go to the workers; no shuffle."""
+    while out.lower() in {c.lower() for c in docs.columns}:
+        out += "_"
     langs, protos = model[0], model[1].astype(np.float32)
 
     def predict(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:

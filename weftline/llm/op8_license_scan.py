@@ -19,8 +19,9 @@ length that equal it; its first anchor word tells where to look.
 
 Result: one row per (document, license) with the best containment and the number of windows.
 Defined results: null and empty texts give no row; texts of fewer than five words match only templates
-as short; a license with several templates counts the windows of all; repeated
-rows give the row once for each id; other columns are ignored.
+as short; very long texts are read whole; a license with several templates counts the windows of all;
+repeated rows, and rows of one id with different texts, count as one document that holds what any
+of them holds; ties need no order; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations

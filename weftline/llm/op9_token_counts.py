@@ -10,7 +10,9 @@ pattern engine and of the library differ on a few recently assigned code points,
 hold a character outside ``_COMMON`` are counted by the library as a whole.
 
 Defined results: null or empty text gives 0 bytes and 0 tokens; special strings inside a text
-are one token each, as the library does by default; no truncation, padding or added tokens.
+are one token each, as the library does by default; no truncation, padding or added tokens; very
+long texts count whole; repeated rows stay separate; there are no ties; an empty table gives an empty
+result; other columns are ignored.
 """
 
 from __future__ import annotations

@@ -1,6 +1,7 @@
 """Nulls, empty and very long texts, ties, repeated rows, empty tables, clashing columns."""
 
 import hashlib
+import re
 
 import numpy as np
 import pytest
@@ -133,13 +134,30 @@ def test_op5(odd, nothing, spark):
     assert (row["n_email"], row["n_ip"], row["n_card"], row["n_phone"]) == (2, 2, 1, 1)
 
 
-def test_op6(odd, nothing):
+def test_op5_added_kinds(spark):
+    """Every labeler's vote on made-up spans, and spans kept by the trained classifier."""
+    good = [f"my iban DE{k:02d} 3704 0044 0532 0130 {k:02d} and ssn 123-45-{6000 + k} or call (212) 555-{1000 + k} password = \"a1b2c3d4e5f6a7b8c9d{k}\"" for k in range(40)]
+    bad = [f"version 000-00-{7000 + k} page" for k in range(40)]
+    rows = {r["doc_id"]: r for r in op5.digest(documents(spark, list(enumerate(good + bad)))).collect()}
+    for k in range(40):
+        r = rows[k]
+        assert (r["n_iban"], r["n_ssn"], r["n_local_phone"], r["n_secret"]) == (1, 1, 1, 1), r
+    assert sum(rows[k]["n_spans"] for k in range(40, 80)) == 0
+    start = good[0].index("DE00")
+    assert f"iban:{start}:{start + 27}" in rows[0]["spans"].split(",")
+
+
+def test_op6(odd, nothing, spark):
     model = op6.prototypes(op6.training_rows(odd))
-    got = {r["doc_id"]: r["language"] for r in op6.identify(odd.drop("language"), model).collect()}
+    told = op6.identify(odd, model)
+    assert told.columns == [*odd.columns, "language_"] and {r["language"] for r in told.collect()} == {"extra language"}
+    got = {r["doc_id"]: r["language_"] for r in told.collect()}
     assert [got[k]["lang"] for k in (1, 2, 3, 5)] == ["und"] * 4 and got[6]["lang"] in ("en", "de")
     empty = op6.prototypes(nothing)
     assert empty[0] == [] and op6.identify(nothing, empty).count() == 0
-    assert {r["language"]["lang"] for r in op6.identify(odd.drop("language"), empty).collect()} == {"und"}
+    assert {r["language_"]["lang"] for r in op6.identify(odd, empty).collect()} == {"und"}
+    far = op6.identify(documents(spark, [(1, "\U00030000\U00030001 \U00031350")]), model).first()["language"]
+    assert far["lang"] in ("en", "de", "fr")
 
 
 def test_op7(odd, nothing):
@@ -272,6 +290,61 @@ def test_op10(odd, nothing, spark):
     assert one["edited_sha256"] == hashlib.sha256(b"abcdab").hexdigest() and one["near_next"] == 1.0
 
 
+def test_op10_against_a_plain_computation(spark):
+    """Fingerprints, edited texts, likenesses: with outlying, repeated and null ids, over several ranges."""
+    rng = np.random.default_rng(8)
+    vocabulary = [f"w{k}" for k in range(60)]
+    rows = [(int(i), " ".join(rng.choice(vocabulary, rng.integers(0, 60)))) for i in [*range(40), 10**15, -(10**15), 7, 7]] + [(None, "lost words w1"), (41, None)]
+    docs = documents(spark, rows)
+    lex = op10.lexicon(docs)
+    fp = op10.fingerprints(docs, lex)
+    part = op10.id_ranges(docs.select("doc_id"), "doc_id", range_rows=5)
+    dealt = op10.with_next(fp, part=part)
+    assert docs.select(part.alias("p")).groupBy("p").count().agg({"count": "max"}).first()[0] <= 12
+    order = sorted(((i, t or "") for i, t in rows), key=lambda r: (r[0] is None, -(r[0] or 0), r[1]))
+    after = {order[k]: order[(k + 1) % len(order)][1] for k in range(len(order))}
+    got = [(r["doc_id"], r["t"], r["next_t"]) for r in dealt.collect()]
+    assert len(got) == len(rows) and all(after[i, t] == n for i, t, n in got)
+    kept = {t for t in vocabulary + ["lost", "words"] if max(2, 0.01 * len(rows)) <= sum(t in (x or "").split() for _, x in rows) <= max(2, 0.2 * len(rows))}
+    hashes = {r["w"]: r["h"] for r in spark.createDataFrame([(w,) for w in kept], "w string").selectExpr("w", "xxhash64(w) AS h").collect()}
+    assert {r["term"] for r in lex.collect()} == set(hashes.values())
+    prints = {r["t"]: r["f"] for r in fp.collect()}
+    for _, t in order:  # a subset's hash depends on the text's kept terms only, and texts that share them all agree
+        own = {hashes[w] for w in t.split() if w in hashes}
+        for _, u in order:
+            if own and own == {hashes[w] for w in u.split() if w in hashes}:
+                assert prints[t] == prints[u]
+    full = {(r["doc_id"], r["n_chars"]): r for r in op10.digest(docs).collect()}
+    for i, t in order:
+        n = len(t) // 3
+        edited = t[: len(t) - n] + after[i, t][:n]
+        r = full[i, len(t)]
+        if [x for x in order if x[0] == i and len(x[1]) == len(t)] == [(i, t)]:
+            assert r["edited_sha256"] == hashlib.sha256(edited.encode()).hexdigest()
+            told = [a == b for a, b in zip(prints[t], prints[after[i, t]], strict=True) if not (a == b == op10.NONE)]
+            assert r["near_next"] == pytest.approx(sum(told) / len(told) if told else 1.0)
+            if edited == t:
+                assert r["near_edited"] == 1.0 and r["edited_fingerprint"] == r["fingerprint"]
+
+
+def test_op8_finds_edited_notices_and_texts(spark):
+    """One word in twelve replaced leaves 60 % of five-word runs or more; one in forty leaves 75 % and must be found."""
+    rng = np.random.default_rng(6)
+    texts = op8.full_texts()
+    rows, want = [], set()
+    for k, (name, text) in enumerate(sorted(texts.items())):
+        words = text.split()
+        for j in range(5):
+            edited = [w if rng.random() > 1 / 40 else f"changed{rng.integers(1000)}" for w in words]
+            rows.append((10 * k + j, "own words before. " + " ".join(edited) + " and after"))
+            squash = lambda t: re.findall("[a-z0-9]+", t.lower())
+            runs = lambda t: {tuple(x[i : i + 5]) for x in [squash(t)] for i in range(len(x) - 4)}
+            if len(runs(text) & runs(" ".join(edited))) >= 0.8 * len(runs(text)):
+                want.add((10 * k + j, name))
+    got = {(r["doc_id"], r["license"]) for r in op8.license_scan(documents(spark, rows)).collect()}
+    assert len(want) >= 30 and len(want & got) >= 0.97 * len(want)
+
+
 def test_pipeline_keeps_columns(spark, odd, nothing, tmp_path, bench):
     bench.write.parquet(str(tmp_path / "benchmark.parquet"))
     for docs in (odd, nothing):

@@ -42,25 +42,31 @@ NUM, UNIT, NAME, JOINT = "\ue000", "\ue001", "\ue002", "\ue003"  # private use c
 UNITS = "km|cm|mm|m|kg|g|mg|lb|lbs|oz|l|ml|s|ms|min|h|hours?|minutes?|seconds?|days?|weeks?|months?|years?|miles?|feet|foot|inch(?:es)?|meters?|metres?|dollars?|euros?|cents?|percent|usd|eur|°c|°f"
 #: Words that are no names although they often start a sentence (fixed values).
 FUNCTION_WORDS = (
-    "A|An|The|This|That|These|Those|There|It|He|She|They|We|You|I|In|On|At|Of|For|From|With|By|To|If|When|While|As|And|But|Or|So|"
-    "What|Which|Who|Whom|Whose|Where|Why|How|Is|Are|Was|Were|Do|Does|Did|Has|Have|Had|Can|Could|Will|Would|Should|Find|Given|Let|Each|Every|All|Some|No|Not|After|Before|Then|His|Her|Their|Its|"
-    "Der|Die|Das|Ein|Eine|Und|Wer|Was|Wie|Wo|Warum|Le|La|Les|Un|Une|Des|Et|Qui|Que|Quel|Quelle|Comment|El|Los|Las|Una|Y|Quién|Qué|Cómo"
-)
+    "a", "an", "the", "this", "that", "these", "those", "there", "it", "he", "she", "they", "we", "you", "i", "in", "on", "at", "of", "for", "from",
+    "with", "by", "to", "if", "when", "while", "as", "and", "but", "or", "so", "what", "which", "who", "whom", "whose", "where", "why", "how", "is",
+    "are", "was", "were", "do", "does", "did", "has", "have", "had", "can", "could", "will", "would", "should", "find", "given", "let", "each",
+    "every", "all", "some", "no", "not", "after", "before", "then", "his", "her", "their", "its", "der", "die", "das", "ein", "eine", "und", "wer",
+    "wie", "wo", "warum", "le", "la", "les", "un", "une", "des", "et", "qui", "que", "quel", "quelle", "comment", "el", "los", "las", "una", "y",
+    "quién", "qué", "cómo",
+)
 
 
 def tokens(text: Column) -> Column:
     """Array of tokens; a slot token is its type's mark followed by its value."""
-    text = F.when(text.rlike(f"[{NUM}-{JOINT}]"), F.translate(text, NUM + UNIT + NAME + JOINT, "    ")).otherwise(text)
-    joined = F.regexp_replace(text, r"(?<=[0-9])[.,](?=[0-9])", JOINT)
+    cleared = F.translate(text, NUM + UNIT + NAME + JOINT, "    ")  # marks are ours alone
+    joined = F.regexp_replace(cleared, r"(?<=[0-9])[.,](?=[0-9])", JOINT)
     numbered = F.regexp_replace(joined, f"([0-9][0-9{JOINT}]*+)", f" {NUM}$1 ")
     unit = F.regexp_replace(numbered, rf"(?i)({NUM}[0-9{JOINT}]++) {{1,2}}({UNITS})(?![\p{{L}}\p{{N}}])", f"$1 {UNIT}$2")
-    plain = F.when(text.rlike("[0-9]"), unit).otherwise(text)
-    named = F.regexp_replace(plain, rf"(?<![\p{{L}}\p{{N}}{NUM}-{JOINT}])(?!(?:{FUNCTION_WORDS})(?!\p{{L}}))(\p{{Lu}}\p{{L}}*+)", NAME + "$1")
-    return F.array_remove(F.split(F.lower(named), rf"[^\p{{L}}\p{{N}}{NUM}-{JOINT}]+"), "")
+    simple = F.when(text.rlike(f"[0-9{NUM}-{JOINT}]"), unit).otherwise(text)
+    # the capital comes first in the pattern: it is what is rare
+    named = F.regexp_replace(simple, rf"(?=\p{{Lu}})(?<![\p{{L}}\p{{N}}{NUM}-{JOINT}])", NAME)
+    words = F.split(F.lower(named), rf"[^\p{{L}}\p{{N}}{NUM}-{JOINT}]+")
+    known = [NAME + w for w in FUNCTION_WORDS]
+    return F.transform(F.filter(words, lambda x: x != ""), lambda x: F.when(x.isin(*known), F.substring(x, 2, 1 << 20)).otherwise(x))
 
 
 def is_slot(x: Column) -> Column:
-    return F.substring(x, 1, 1).between(NUM, NAME)
+    return (x >= NUM) & (x < JOINT)
 
 
 def template(x: Column) -> Column:
@@ -116,12 +122,15 @@ def _hits(texts: DataFrame, bench: DataFrame, broadcast_windows: int) -> DataFra
     """doc_id, doc_pos, w, doc_tokens of every window of a document that occurs in the benchmark."""
     exact = {r[0] for r in bench.select("exact").distinct().collect()} - {0}  # at most WINDOW lengths
     known = bench.select(F.col("w").alias("bench_w")).distinct()
-    seen = with_windows(texts.select("doc_id", tokens(F.col("t")).alias("tokens")), exact)
-    windows = F.concat(*[F.transform(c, lambda w, i: F.struct(i.alias("at"), w.alias("w"))) for c in ["t5", *(f"e{n}" for n in sorted(exact))]])
+    tokenised = with_windows(texts.select("doc_id", tokens(F.col("t")).alias("tokens")), exact)
     carried = ["tokens"] if known.count() <= broadcast_windows else []
     # outer: else the optimizer infers a size filter from the explode, pushes it down and computes windows many times
-    seen = seen.select("doc_id", *carried, F.explode_outer(windows).alias("x")).where("x is not null")
-    seen = seen.select("doc_id", *carried, F.col("x.at").alias("doc_pos"), F.col("x.w").alias("w"))
+    seen = tokenised.select("doc_id", *carried, F.posexplode_outer("t5").alias("doc_pos", "w"))
+    if exact:
+        windows = F.concat(*[F.transform(f"e{n}", lambda w, i: F.struct(i.alias("at"), w.alias("w"))) for n in sorted(exact)])
+        rows = tokenised.select("doc_id", *carried, F.explode_outer(windows).alias("x"))
+        seen = seen.unionByName(rows.select("doc_id", *carried, F.col("x.at").alias("doc_pos"), F.col("x.w").alias("w")))
+    seen = seen.where("w is not null")
     cut = F.expr(f"slice(tokens, doc_pos + 1, {WINDOW})").alias("doc_tokens")
     if carried:
         return seen.join(F.broadcast(known), F.col("w") == F.col("bench_w"), "left_semi").select("doc_id", "doc_pos", "w", cut)

@@ -106,12 +106,31 @@ def test_debounced_stream(spark, tmp_path):
     assert [(r["n"], list(r["paths"])) for r in sorted(got, key=lambda r: r["first"])][:2] == [(3, ["a", "b"]), (1, ["c"])]
 
 
+def test_gate_rules():
+    g = gate.Gate()
+    assert g.step(0, "tree", "a") == [("pass", 0, ["a"], False, False, 0)]
+    assert g.step(100, "activity", None) == g.step(200, "tree", "b") == g.step(250, "ref", None) == [] and g.due() == 550
+    assert g.step(600, "tree", "c") == [("flush", 550, ["b"], True, False, 450), ("pass", 600, ["c"], False, False, 0)]
+    g = gate.Gate()
+    assert g.step(0, "busy", None) == g.step(400, "tree", "x") == [] and g.due() == 60_000  # a busy repository does not settle
+    assert g.step(5_000, "free", None) == [] and g.due() == 5_300 and g.expire(5_299) == []
+    assert g.expire(5_300) == [("flush", 5_300, ["x"], False, False, 5_300)] and g.due() is None
+    g = gate.Gate()
+    g.step(0, "busy", None)
+    assert g.step(61_000, "tree", "y") == [("flush", 60_000, [], False, True, 60_000), ("pass", 61_000, ["y"], False, False, 0)]
+
+
 def test_hold_gate_stream(spark, tmp_path):
-    burst = [{"root": "r", "kind": "activity", "ts": at(s / 10)} for s in range(5)]
-    events = [burst, [{"root": "r", "kind": "tree", "ts": at(50)}], [{"root": "r", "kind": "tree", "ts": at(120)}]]
-    got = drain(gate.hold_gate(stream(spark, tmp_path / "g", events, "root string, kind string, ts timestamp")), "gated")
-    first = min(got, key=lambda r: r["flushed_at"])
-    assert first["n"] == 5 and first["held_ms"] == 400 + gate.SETTLE_MS
+    row = lambda kind, s, path=None: {"root": "r", "kind": kind, "path": path, "ts": at(s)}
+    events = [[row("tree", 0.0, "a"), row("activity", 1.0), row("tree", 1.1, "b"), row("ref", 1.2)], [row("tree", 50, "c")], [row("tree", 120, "d")]]
+    got = drain(gate.hold_gate(stream(spark, tmp_path / "g", events, "root string, kind string, path string, ts timestamp")), "gated")
+    rows = [(r["action"], list(r["paths"]), r["ref"], r["held_ms"]) for r in sorted(got, key=lambda r: r["at"])]
+    assert rows == [("pass", ["a"], False, 0), ("flush", ["b"], True, 200 + gate.SETTLE_MS), ("pass", ["c"], False, 0), ("pass", ["d"], False, 0)]
+
+
+def test_lock_rule(spark):
+    df = spark.createDataFrame([(None, None), (5, False), (40_000, False), (40_000, True), (40_000, None)], "age long, git boolean")
+    assert [r[0] for r in df.select(gate.lock_is_live(F.col("age"), F.col("git"))).collect()] == [False, True, False, True, True]
 
 
 def test_classify(spark):

@@ -91,9 +91,40 @@ def name_part(s: Column) -> Column:
     return F.when(tail != "", tail)
 
 
+#: What a module's file name may end in, and what makes a file a script or a component (fixed values).
+MODULE_EXTENSIONS = (".d.ts", ".d.mts", ".d.cts", ".tsx", ".ts", ".mts", ".cts", ".jsx", ".js", ".mjs", ".cjs", ".json", ".vue", ".svelte", ".astro")
+SCRIPT_EXTENSIONS = ("ts", "tsx", "mts", "cts", "js", "jsx", "mjs", "cjs", "vue", "svelte", "astro")
+COMPONENT_EXTENSIONS = ("vue", "svelte", "astro")
+
+
 def module_key(path: Column) -> Column:
-    """Path without a script extension."""
-    return F.regexp_replace(path, r"\.(?:d\.ts|tsx?|jsx?|mts|cts|mjs|cjs|vue|svelte|astro)$", "")
+    """Path without a module extension (a name that consists of one keeps it)."""
+    ends = "|".join(re.escape(x) for x in MODULE_EXTENSIONS)
+    return F.regexp_replace(path, rf"(?<=[^/])(?:{ends})$", "")
+
+
+def clean_path(path: Column) -> Column:
+    """Path without empty, ``.`` and ``..`` parts."""
+    step = lambda kept, x: F.when(x.isin("", "."), kept).when(x == "..", F.slice(kept, 1, F.greatest(F.size(kept) - 1, F.lit(0)))).otherwise(F.concat(kept, F.array(x)))
+    parts = F.aggregate(F.split(path, "/"), F.array().cast("array<string>"), step)
+    return F.concat(F.when(F.startswith(path, F.lit("/")), "/").otherwise(""), F.array_join(parts, "/"))
+
+
+def module_keys_of_import(directory: Column, target: Column) -> Column:
+    """Keys of the files a relative import may name: the file, its ``index``, or the folder's file of its own name."""
+    key = module_key(clean_path(F.concat(directory, F.lit("/"), target)))
+    return F.array(key, F.concat(key, F.lit("/index")), F.concat(key, F.lit("/"), F.element_at(F.split(key, "/"), -1)))
+
+
+def extension(path: Column) -> Column:
+    return F.regexp_extract(path, r"[^/]\.([^./]+)$", 1)
+
+
+def extension_compatible(path: Column, specifier: Column) -> Column:
+    """A component's extension names only such files, a script's never one."""
+    own, named = extension(path), extension(specifier)
+    scripts = ("js", "jsx", "ts", "tsx", "mjs", "cjs", "mts", "cts", "json")
+    return F.when(named.isin(*COMPONENT_EXTENSIONS), own == named).when(named.isin(*scripts), ~own.isin(*COMPONENT_EXTENSIONS)).otherwise(F.lit(True))
 
 
 def split_words(s: Column) -> Column:
@@ -157,8 +188,15 @@ def is_test_path(path: Column) -> Column:
     return path.rlike(rf"(?i)(?:^|/)(?:{dirs})(?:/|$)") | dotted | stem.rlike("_(?:test|spec)$|^test_") | cased
 
 
+#: Directories of generated code, and marks in the names of generated files (fixed values).
+GENERATED_DIRS = ("__generated__", "generated", "gen", "codegen", "proto-gen")
+GENERATED_MARKS = (".generated.", ".gen.", ".pb.", "_pb.", "_pb2", "_grpc.")
+
+
 def is_generated_path(path: Column) -> Column:
-    return path.rlike(r"(?:^|/)(?:generated|gen|__generated__|dist|build)/|(?:_pb2(?:_grpc)?\.py|\.pb\.go|\.g\.dart|\.generated\.[^/]+|_generated\.[^/]+|\.min\.js)$")
+    """Code a generator wrote (ranks behind hand-written code)."""
+    marks = "|".join(re.escape(x) for x in GENERATED_MARKS)
+    return path.rlike(rf"(?i)(?:^|/)(?:{'|'.join(GENERATED_DIRS)})(?:/|$)") | path.rlike(rf"\.d\.ts$|(?:{marks})[^/]*$")
 
 
 def under(path: Column, scope: Column) -> Column:

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import re
+import warnings
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -81,14 +84,65 @@ def resolve_placeholders(properties: DataFrame) -> DataFrame:
     return rows.select("key", F.when(T.is_sensitive_key(F.col("key")), F.lit(REDACTED)).otherwise(value).alias("value"))
 
 
-def custom_patterns(docs: DataFrame, patterns: list[dict], id_col: str, text_col: str) -> DataFrame:
-    """(id, name, kind, target, line): user-declared extractors.  Each is {name, kind, regex, group}; one narrow pass."""
-    found = None
+def valid_patterns(patterns: list[dict]) -> list[dict]:
+    """The patterns whose expression compiles; the others are left out with a warning."""
+    out = []
     for p in patterns:
-        hits = F.regexp_extract_all(text_col, F.lit(p["regex"]), F.lit(p.get("group", 1)))
-        whole = F.split(text_col, p["regex"], -1)
-        own = docs.where(F.col(text_col).rlike(p["regex"])).select(F.col(id_col).alias("id"), whole.alias("parts"), F.posexplode(hits).alias("at", "target"))
-        before = F.aggregate(F.slice("parts", F.lit(1), F.col("at") + 1), F.lit(1), lambda a, x: a + F.regexp_count(x, F.lit("\n")))
-        own = own.select("id", F.lit(p["name"]).alias("name"), F.lit(p["kind"]).alias("kind"), "target", before.alias("line"))
-        found = own if found is None else found.unionByName(own)
-    return found
+        try:
+            re.compile(p["regex"])
+            out.append(p)
+        except re.error as e:
+            warnings.warn(f"pattern {p['name']}: {e}", stacklevel=2)
+    return out
+
+
+def _with_lines(text: Column, regex: str, group: int) -> Column:
+    """array<struct<target, line>> of all matches: pieces between matches are only counted for their line ends."""
+    hits = F.regexp_extract_all(text, F.lit(regex), F.lit(group))
+    whole = F.regexp_extract_all(text, F.lit(regex), F.lit(0))
+    ends = lambda parts: F.transform(parts, lambda x: F.regexp_count(x, F.lit("\n")))
+    # line of a match: line ends in the pieces and matches before it
+    steps = F.arrays_zip(F.slice(ends(F.split(text, regex, -1)), F.lit(1), F.size(hits)).alias("gap"), ends(whole).alias("own"), hits.alias("target"))
+    start = F.expr("struct(1 AS line, CAST(array() AS array<struct<target:string,line:int>>) AS out)")
+
+    def step(acc: Column, x: Column) -> Column:
+        line = acc["line"] + x["gap"]
+        return F.struct((line + x["own"]).alias("line"), F.concat(acc["out"], F.array(F.struct(x["target"].alias("target"), line.alias("line")))).alias("out"))
+
+    return F.aggregate(steps, start, step, lambda acc: acc["out"])
+
+
+def in_scope(path: Column, suffix_or_part: str | None) -> Column:
+    """Whether a pattern's file scope (a suffix or a part of the path) takes a path; without a scope all."""
+    if not suffix_or_part:
+        return F.lit(True)
+    return F.endswith(path, F.lit(suffix_or_part)) | F.contains(path, F.lit(suffix_or_part))
+
+
+def _hit(p: dict):
+    fixed = [F.lit(p["name"]).alias("name"), F.lit(p["kind"]).alias("kind")]
+    confidence = F.lit(p.get("confidence", "heuristic")).alias("confidence")
+    return lambda x: F.struct(*fixed, x["target"].alias("target"), x["line"].alias("line"), confidence)
+
+
+def custom_patterns(docs: DataFrame, patterns: list[dict], id_col: str, text_col: str, path_col: str | None = None) -> DataFrame:
+    """(id, name, kind, target, line, confidence): user-declared extractors.
+
+    Each is {name, kind, regex, group, file, confidence}.  One scan of the table whatever the number of
+    patterns: matches and their lines are found inside the row, and only these are exploded.
+    """
+    found = []
+    for p in valid_patterns(patterns):
+        applies = F.col(text_col).rlike(p["regex"])
+        if path_col:
+            applies = applies & in_scope(F.col(path_col), p.get("file"))
+        own = F.transform(_with_lines(F.col(text_col), p["regex"], p.get("group", 1)), _hit(p))
+        found.append(F.when(applies, own).otherwise(F.expr("CAST(array() AS array<struct<name:string,kind:string,target:string,line:int,confidence:string>>)")))
+    rows = docs.select(F.col(id_col).alias("id"), F.explode(F.concat(*found) if found else F.expr("CAST(array() AS array<struct<name:string,kind:string,target:string,line:int,confidence:string>>)")).alias("x"))
+    return rows.select("id", "x.*")
+
+
+def silent_patterns(hits: DataFrame, patterns: list[dict], spark) -> DataFrame:
+    """name: declared patterns that match nothing."""
+    names = spark.createDataFrame([(p["name"],) for p in patterns], "name string")
+    return names.join(hits.select("name").distinct(), "name", "left_anti")

@@ -29,25 +29,57 @@ def _first_strategy(found: DataFrame, key: list[str]) -> DataFrame:
     return found.withColumn("best", F.min("prio").over(w)).where("prio = best").drop("best")
 
 
+#: Modules of the JavaScript runtime (fixed values).
 NODE_BUILTINS = (
-    "assert", "buffer", "child_process", "cluster", "crypto", "dns", "events", "fs", "http", "http2", "https", "net", "os",
-    "path", "perf_hooks", "process", "querystring", "readline", "stream", "string_decoder", "timers", "tls", "tty", "url",
-    "util", "v8", "vm", "worker_threads", "zlib",
+    "assert", "async_hooks", "buffer", "child_process", "cluster", "console", "constants", "crypto", "dgram", "diagnostics_channel",
+    "dns", "domain", "events", "fs", "http", "http2", "https", "inspector", "module", "net", "os", "path", "perf_hooks", "process",
+    "punycode", "querystring", "readline", "repl", "stream", "string_decoder", "timers", "tls", "trace_events", "tty", "url", "util",
+    "v8", "vm", "wasi", "worker_threads", "zlib",
 )
 
 
+def is_builtin_module(specifier: Column) -> Column:
+    """``fs``, ``node:fs``, ``fs/promises``."""
+    return F.startswith(specifier, F.lit("node:")) | F.element_at(F.split(specifier, "/"), 1).isin(*NODE_BUILTINS)
+
+
+def rewrite_aliases(imports: DataFrame, nodes: DataFrame, aliases: DataFrame) -> DataFrame:
+    """``imports`` with aliased specifiers as paths below the alias's folder, written relative to the importer.
+
+    aliases: (dir, prefix, replacement): in scripts below ``dir``, a specifier ``prefix...`` means
+    ``dir/replacement...``.  The nearest configuration answers, of its aliases the longest prefix.  Aliases
+    are configuration; both sides meet by equi-joins on ancestor folders and first path parts.
+    """
+    own = nodes.select(F.col("id").alias("node_id"), F.regexp_replace("file_path", "/[^/]*$", "").alias("from_dir"), "file_path")
+    rows = imports.join(own, "node_id")
+    script = T.extension(F.col("file_path")).isin(*T.SCRIPT_EXTENSIONS) & ~F.col("target").rlike("^[./]")
+    keys = rows.where(script).select("from_dir", "target").distinct()
+    parts = F.split("from_dir", "/")
+    up = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda n: F.array_join(F.slice(parts, 1, n), "/"))
+    met = keys.withColumn("dir", F.explode(up)).join(aliases, "dir").where(F.startswith("target", F.col("prefix")))
+    best = met.groupBy("from_dir", "target").agg(F.max_by(F.struct("dir", "prefix", "replacement"), F.struct(F.length("dir"), F.length("prefix"), "prefix")).alias("a"))
+    depth = F.size(F.split("from_dir", "/"))
+    whole = F.concat("a.dir", F.lit("/"), "a.replacement", F.expr("substring(target, length(a.prefix) + 1)"))
+    back = F.concat(F.expr("repeat('../', size(split(from_dir, '/')) - 1)"), F.regexp_replace(T.clean_path(whole), "^/", ""))
+    best = best.withColumn("n", depth).select("from_dir", "target", back.alias("to"))
+    out = rows.join(best, ["from_dir", "target"], "left")
+    return out.select("node_id", F.when(script, F.coalesce("to", "target")).otherwise(F.col("target")).alias("target"))
+
+
 def resolve_imports(imports: DataFrame, nodes: DataFrame) -> DataFrame:
     """(node_id, target, to_id, confidence) by the first strategy with a hit.
 
     1 qualified name (smallest id, exact), 2 ``pkg/name`` (exact), 3 runtime built-ins of the own
-    repository, 4 bare name, 5 relative path and stem in the own repository, 6 a whole package.
+    repository, 4 bare name, 5 relative path in the own repository (from a script: a declaration named
+    after the file, in the file that the path names; else in any file), 6 a whole package.
     """
-    own = nodes.select(F.col("id").alias("node_id"), "repo_id", F.regexp_replace("file_path", "/[^/]*$", "").alias("dir"))
+    own = nodes.select(F.col("id").alias("node_id"), "repo_id", F.regexp_replace("file_path", "/[^/]*$", "").alias("dir"), T.extension(F.col("file_path")).isin(*T.SCRIPT_EXTENSIONS).alias("script"))
     facts = imports.join(own, "node_id")
     relative = F.col("target").rlike("^[./]")
-    keys = facts.select("repo_id", F.when(relative, F.col("dir")).alias("dir"), "target").distinct()
-    keys = keys.select("*", relative.alias("rel"), T.package_part(F.col("target")).alias("pkg"), T.name_part(F.col("target")).alias("last"), F.regexp_replace("target", "^node:", "").alias("plain"))
-    keys = keys.withColumn("builtin", ~F.col("rel") & F.col("plain").isin(*NODE_BUILTINS))
+    of_dir = relative & F.col("script")
+    keys = facts.select("repo_id", F.when(of_dir, F.col("dir")).alias("dir"), "target").distinct()
+    keys = keys.select("*", relative.alias("rel"), T.package_part(F.col("target")).alias("pkg"), T.name_part(F.col("target")).alias("last"))
+    keys = keys.withColumn("builtin", is_builtin_module(F.col("target")))
     cand = nodes.select(F.col("id").alias("cand_id"), F.col("repo_id").alias("cand_repo"), F.col("name").alias("cand_name"), F.col("package").alias("cand_package"), F.col("file_path").alias("cand_file"))
     key = ["repo_id", "dir", "target"]
 
@@ -55,17 +87,22 @@ def resolve_imports(imports: DataFrame, nodes: DataFrame) -> DataFrame:
         return left.join(right, on).select(*key, "cand_id", "cand_repo", F.lit(prio).alias("prio"), F.lit(confidence).alias("confidence"))
 
     first = cand.groupBy("cand_package", "cand_name").agg(F.min(F.struct("cand_id", "cand_repo")).alias("x")).select("cand_package", "cand_name", "x.*")
-    outer = keys.where("not rel and not builtin")
+    outer = keys.where("not rel")
     exact = hits(outer.where("pkg is not null"), (F.col("cand_package") == F.col("pkg")) & (F.col("cand_name") == F.col("last")), 1, "exact", first)
-    slash = hits(outer, F.concat_ws("/", "cand_package", "cand_name") == F.col("target"), 2, "exact")
-    builtin = hits(keys.where("builtin"), (F.col("cand_name") == F.col("plain")) & (F.col("cand_repo") == F.col("repo_id")), 3, "heuristic")
+    slash = hits(outer.where("pkg is not null"), F.concat("cand_package", F.lit("/"), "cand_name") == F.concat("pkg", F.lit("/"), "last"), 2, "exact")
+    builtin = hits(keys.where("builtin"), (F.col("cand_name") == F.col("target")) & (F.col("cand_repo") == F.col("repo_id")), 3, "heuristic")
     bare = hits(keys.where("not builtin"), F.col("cand_name") == F.col("target"), 4, "heuristic")
-    stem = F.regexp_replace(F.element_at(F.split("target", "/"), -1), r"\.[^.]*$", "")
-    near = hits(keys.where("rel").withColumn("stem", stem), (F.col("cand_name") == F.col("stem")) & (F.col("cand_repo") == F.col("repo_id")), 5, "heuristic")
-    whole = hits(outer.where("target rlike '[/.]'"), F.col("cand_package") == F.col("target"), 6, "heuristic")
+    near_keys = keys.where("rel").withColumn("stem", F.regexp_replace(F.element_at(F.split("target", "/"), -1), r"(?<=.)\.[^.]*$", ""))
+    same = (F.col("cand_name") == F.col("stem")) & (F.col("cand_repo") == F.col("repo_id"))
+    near = hits(near_keys.where("dir is null"), same, 5, "heuristic")
+    at = near_keys.where("dir is not null").withColumn("file", F.explode(F.array_distinct(T.module_keys_of_import(F.col("dir"), F.col("target")))))
+    placed = cand.withColumn("cand_key", T.module_key(T.clean_path(F.col("cand_file"))))
+    there = same & (F.col("cand_key") == F.col("file")) & T.extension_compatible(F.col("cand_file"), F.col("target"))
+    near = near.unionByName(hits(at, there, 5, "heuristic", placed).distinct())
+    whole = hits(outer.where("not builtin and target rlike '[/.]'"), F.col("cand_package") == F.col("target"), 6, "heuristic")
     found = exact.unionByName(slash).unionByName(builtin).unionByName(bare).unionByName(near).unionByName(whole)
     chosen = pick_or_ambiguous(_first_strategy(found, key), key)
-    back = facts.withColumn("dir", F.when(relative, F.col("dir")))
+    back = facts.withColumn("dir", F.when(of_dir, F.col("dir")))
     on = [F.col("f.repo_id") == F.col("c.repo_id"), F.col("f.target") == F.col("c.target"), F.col("f.dir").eqNullSafe(F.col("c.dir"))]
     out = back.alias("f").join(chosen.alias("c"), on[0] & on[1] & on[2])
     return out.select("f.node_id", "f.target", F.col("c.cand_id").alias("to_id"), "c.confidence")
@@ -93,18 +130,20 @@ def resolve_rpc(calls: DataFrame, nodes: DataFrame) -> DataFrame:
 def implements(protos: DataFrame, handlers: DataFrame) -> DataFrame:
     """(proto_id, handler_id, confidence): every handler a proto method may be served by.
 
-    Blocking keys (full name, folded bare name, Pascal case, bare names inside the signature) make it an
-    equi-join; the exact rules are checked again on what meets.
+    Keys (full name, folded bare name, Pascal case, names inside the signature and their prefixes) make it an
+    equi-join on whole names, so no key is hotter than a name; the exact rules are checked again on what meets.
     """
     bare = T.bare_name(F.col("name"))
     p = protos.select(F.col("id").alias("proto_id"), F.col("name").alias("p_name"), bare.alias("bare"))
-    p = p.withColumn("k", F.explode(F.array_distinct(F.array(F.concat(F.lit("n:"), "p_name"), F.concat(F.lit("f:"), T.folded_bare(F.col("p_name"))), F.concat(F.lit("s:"), F.substring(F.col("bare"), 1, 3))))))
+    p = p.withColumn("k", F.explode(F.array_distinct(F.array(F.concat(F.lit("n:"), "p_name"), F.concat(F.lit("f:"), T.folded_bare(F.col("p_name"))), F.concat(F.lit("s:"), F.col("bare"))))))
     sig = F.coalesce("signature", F.lit(""))
     after = F.regexp_extract_all(sig, F.lit(r"(?:[@'\x22]|fn |func |def )([A-Za-z0-9_.]+)"), F.lit(1))
     h = handlers.where(~F.col("name").rlike("^(?:rpc|produce|consume):")).select(F.col("id").alias("handler_id"), F.col("name").alias("h_name"), after.alias("after"))
     keys = F.concat(
         F.array(F.concat(F.lit("n:"), "h_name"), F.concat(F.lit("f:"), T.folded_bare(F.col("h_name"))), F.concat(F.lit("f:"), T.folded_bare(T.pascal_case(F.col("h_name"))))),
-        F.transform("after", lambda x: F.concat(F.lit("f:"), T.folded_bare(x))), F.transform("after", lambda x: F.concat(F.lit("s:"), F.substring(x, 1, 3))),
+        F.transform("after", lambda x: F.concat(F.lit("f:"), T.folded_bare(x))),
+        # a name may be a prefix of what the signature declares: all prefixes, so that it is an equality
+        F.flatten(F.transform("after", lambda x: F.transform(F.sequence(F.lit(1), F.length(x)), lambda n: F.concat(F.lit("s:"), F.substring(x, F.lit(1), n))))),
     )
     h = h.withColumn("k", F.explode(F.array_distinct(keys)))
     met = p.join(h, "k").select("proto_id", "p_name", "bare", "handler_id", "h_name", "after").distinct()

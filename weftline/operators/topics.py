@@ -24,13 +24,18 @@ def topic_hubs(edges: DataFrame) -> DataFrame:
 def wildcard_edges(producers: DataFrame, subscriptions: DataFrame, most: int = schema.WILDCARD_PRODUCERS) -> DataFrame:
     """(pattern, topic, node_id) linked by a wildcard subscription, at most ``most`` per pattern by (topic, node).
 
-    subscriptions: (node_id, pattern).  Patterns are declared in code, so their table is small; its side of the
-    theta join is the build side and only distinct topics are compared.  Producers that also consume the
-    pattern are skipped.
+    subscriptions: (node_id, pattern).  Distinct topics meet patterns by an equi-join on the separator and the
+    first token (a topic's, or the wildcard), and the exact rule decides.  Producers that also consume
+    the pattern are skipped.
     """
     patterns = subscriptions.where(T.is_subject_pattern(F.col("pattern"))).select("pattern").distinct()
+    slash = F.contains("pattern", F.lit("/"))
+    token = F.when(slash, F.element_at(F.split("pattern", "/"), 1)).otherwise(F.element_at(F.split("pattern", r"\."), 1))
+    any_token = F.when(slash, token.isin("+", "#")).otherwise(token.isin("*", ">"))
+    patterns = patterns.select("pattern", F.concat(F.when(slash, "/").otherwise("."), F.when(any_token, F.lit("")).otherwise(F.concat(F.lit("="), token))).alias("k"))
     topics = producers.select("topic").distinct()
-    pairs = topics.join(patterns, T.subject_matches(F.col("pattern"), F.col("topic")))
+    keys = F.array(F.lit("/"), F.lit("."), F.concat(F.lit("/="), F.element_at(F.split("topic", "/"), 1)), F.concat(F.lit(".="), F.element_at(F.split("topic", r"\."), 1)))
+    pairs = topics.withColumn("k", F.explode(keys)).join(patterns, "k").where(T.subject_matches(F.col("pattern"), F.col("topic"))).select("topic", "pattern").distinct()
     rows = pairs.join(producers.select("topic", "node_id").distinct(), "topic")
     rows = rows.join(subscriptions.select("node_id", "pattern"), ["node_id", "pattern"], "left_anti")
     first = rows.groupBy("pattern", "node_id").agg(F.min("topic").alias("topic"))  # an edge that exists is not inserted again

@@ -64,7 +64,7 @@ def test_other_languages():
     assert {("producer", "place", "orders.created"), ("rpc_call", "place", "User"), ("import", "place", "com.pay.Money")} <= got and not any(t == "no" for _, _, t in got)
     nodes, got = facts("a/main.go", "go", 'package main\n\nimport (\n\tpb "shop/users"\n)\n\ntype Store interface {\n}\n\nfunc Run() {\n\tpb.NewUserServiceClient(conn)\n\tr.GET("/orders/:id", h)\n}\n')
     assert {("interface", "Store"), ("service_class", "Run"), ("http_endpoint", "GET /orders/:id")} <= nodes and ("rpc_call", "Run", "UserService") in got
-    nodes, got = facts("a/x.ts", "typescript", "import { K } from './kafka';\nexport class Feed {\n  run() { this.producer.send({ topic: 'feed.out' }); }\n}\nrouter.post('/feed', h);\n")
+    nodes, got = facts("a/x.ts", "typescript", "import { K } from './kafka';\nimport { Router } from 'express';\nexport class Feed {\n  run() { this.producer.send({ topic: 'feed.out' }); }\n}\nrouter.post('/feed', h);\n")
     assert {("service_class", "Feed"), ("http_endpoint", "POST /feed")} <= nodes and ("producer", "Feed", "feed.out") in got
     assert facts("a/only.ts", "typescript", "import './x';\n")[0] == {("module", "only")}
 

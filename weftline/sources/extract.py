@@ -17,7 +17,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from weftline import schema
-from weftline.sources import proto
+from weftline.functions import text as T
+from weftline.sources import javascript, proto
 
 FACTS = "path string, repo_id int, what string, local int, name string, kind string, line_start int, line_end int, package string, signature string, docstring string, target string, heuristic boolean"
 VERBS = "get|post|put|patch|delete|head|options"
@@ -26,15 +27,16 @@ VERBS = "get|post|put|patch|delete|head|options"
 class Facts:
     def __init__(self, package: str):
         self.package, self.nodes, self.facts = package, [], []
+        self._seen: set[tuple] = set()
 
     def node(self, name: str, kind: str, start: int, end: int, signature: str | None = None, doc: str | None = None) -> int:
         self.nodes.append({"what": "node", "local": len(self.nodes), "name": name, "kind": kind, "line_start": start, "line_end": end, "signature": signature, "docstring": doc})
         return len(self.nodes) - 1
 
     def fact(self, what: str, local: int, target: str, heuristic: bool = False) -> None:
-        row = {"what": what, "local": local, "target": target, "heuristic": heuristic}
-        if target and row not in self.facts:
-            self.facts.append(row)
+        if target and (what, local, target, heuristic) not in self._seen:
+            self._seen.add((what, local, target, heuristic))
+            self.facts.append({"what": what, "local": local, "target": target, "heuristic": heuristic})
 
     def enclosing(self, line: int) -> int | None:
         """The smallest declaration around a line, the first on a tie."""
@@ -148,10 +150,7 @@ RULES: dict[str, dict] = {
     "typescript": {
         "package": None, "import": r"(?:\bfrom\s+|\bimport\s+|\brequire\s*\(\s*|\bimport\s*\(\s*)['\"]([^'\"]+)['\"]",
         "nodes": [("interface", rf"^\s*(?:export\s+)?(?:declare\s+)?(?:interface|type)\s+{_IDENT}"), ("service_class", rf"^\s*(?:export\s+)?(?:default\s+)?(?:abstract\s+)?(?:class|enum|namespace)\s+{_IDENT}"), ("service_class", rf"^(?:export\s+)?(?:default\s+)?(?:async\s+)?function\s*\*?\s*{_IDENT}"), ("service_class", rf"^(?:export\s+)?(?:const|let)\s+{_IDENT}\s*[:=]")],
-        "facts": [("producer", r"\b\w*(?:[pP]roducer|[kK]afka|[rR]edpanda)\w*\s*\.\s*send\s*\(\s*\{\s*topic\s*:\s*['\"]([^'\"]+)['\"]"), ("consumer", r"\b\w*(?:[cC]onsumer|[kK]afka|[rR]edpanda)\w*\s*\.\s*subscribe\s*\(\s*\{\s*topics?\s*:\s*\[?\s*['\"]([^'\"]+)['\"]"),
-                  ("producer", r"\b(?:nc|nats\w*|redis\w*|mqtt\w*|\w*[cC]lient)\s*\.\s*publish\s*\(\s*['\"]([^'\"]+)['\"]"), ("consumer", r"\b(?:nc|nats\w*|redis\w*|mqtt\w*|\w*[cC]lient)\s*\.\s*(?:subscribe|psubscribe|subscribeAsync)\s*\(\s*['\"]([^'\"]+)['\"]"),
-                  ("producer", r"\.\s*sendToQueue\s*\(\s*['\"]([^'\"]+)['\"]"), ("consumer", r"@(?:EventPattern|MessagePattern|Processor|SqsMessageHandler)\s*\(\s*['\"]([^'\"]+)['\"]"), ("producer", r"\bnew\s+Queue\s*\(\s*['\"]([^'\"./]+)['\"]"), ("consumer", r"\bnew\s+Worker\s*\(\s*['\"]([^'\"./]+)['\"]")],
-        "routes": [rf"\b(?:app|router|server|fastify|api)\w*\s*\.\s*(?P<verb>(?i:{VERBS}))\s*\(\s*['\"`](?P<path>/[^'\"`]*)['\"`]", r"@(?P<verb>Get|Post|Put|Patch|Delete)\s*\(\s*['\"](?P<path>[^'\"]*)['\"]"],
+        "facts": [], "routes": [],  # read from tokens, see _script
     },
     "rust": {
         "package": None, "import": r"^\s*(?:pub\s+)?use\s+([\w:]+(?:::\{[^}]*\})?)",
@@ -225,14 +224,49 @@ def _by_rules(path: str, text: str, out: Facts, rules: dict) -> None:
         for m in re.finditer(pattern, clean, re.S):
             at = out.enclosing(line(m.start()))
             out.fact(what, 0 if at is None else at, m[1])
-    for m in re.finditer(rules["import"], clean, re.M):
-        target = m[1].strip()
+    bodies = ["\n".join(lines[n["line_start"] - 1 : n["line_end"]]) for n in out.nodes]
+    for target in dict.fromkeys(m[1].strip() for m in re.finditer(rules["import"], clean, re.M)):
         used = re.split(r"[./:\\]+", re.sub(r"\.\w+$", "", target) if "/" in target else target)[-1]
-        for k, n in enumerate(out.nodes):
-            if used in ("*", "") or "/" in target or used in "\n".join(lines[n["line_start"] - 1 : n["line_end"]]):
+        for k, body in enumerate(bodies):
+            if used in ("*", "") or "/" in target or used in body:
                 out.fact("import", k, target)
 
 
+SCRIPTS = ("typescript", "javascript", "vue", "svelte", "astro")
+COMPONENTS = ("vue", "svelte", "astro")
+
+
+def _script(path: str, text: str, out: Facts) -> None:
+    """Declarations and imports by pattern; events, routes and operations from tokens.
+
+    A component file is read at its script parts, and is a node itself unless its name starts with ``+`` or is
+    declared in it.
+    """
+    component = path.endswith(tuple("." + c for c in COMPONENTS))
+    view = javascript.script_view(path, text) if component else text
+    _by_rules(path, view, out, RULES["typescript"])
+    stem = path.rsplit("/", 1)[-1].rsplit(".", 1)[0]
+    lines = text.count("\n") + 1
+    if component and not stem.startswith("+") and all(n["name"] != stem or n["kind"] == "module" for n in out.nodes):
+        out.nodes = [n for n in out.nodes if n["kind"] != "module"]
+        for k, n in enumerate(out.nodes):
+            n["local"] = k
+        out.node(stem, "service_class", 1, lines, None)
+    broker, http = javascript.mentions_broker(view), javascript.mentions_http(view)
+    api = "trpc" in view or "TRPC" in view or "graphql" in view.lower()
+    if not (broker or http or api):
+        return
+    script = javascript.Script(view)
+    for r in javascript.routes(script) if http else []:
+        label = f"{r['method']} {r['path']}"
+        out.node(label, "http_endpoint", r["line"], r["line"], label)
+    for r in javascript.procedures(script) if api else []:
+        out.node(r["name"], "http_endpoint", r["line"], r["line"], r["name"])
+    for e in javascript.events(script) if broker else []:
+        at = out.enclosing(e["line"])
+        out.fact("producer" if e["role"] == "produce" else "consumer", 0 if at is None else at, e["name"], e["heuristic"])
+
+
 def extract_text(path: str, language: str | None, text: str) -> tuple[Facts, bool]:
     """(facts, parse_failed) of one file."""
     out = Facts(package_of(path))
@@ -241,6 +275,8 @@ def extract_text(path: str, language: str | None, text: str) -> tuple[Facts, boo
             _python(path, text, out)
         elif language == "protobuf":
             _protobuf(path, text, out)
+        elif language in SCRIPTS:
+            _script(path, text, out)
         elif language in RULES:
             _by_rules(path, text, out, RULES[language])
         return out, False
@@ -279,8 +315,8 @@ def tables(facts: DataFrame) -> dict[str, DataFrame]:
     return {
         "nodes": nodes,
         "imports": pick("import").select("node_id", "target"),
-        "producers": pick("producer").select("node_id", F.col("path").alias("file_path"), F.lower("target").alias("topic"), "heuristic"),
-        "consumers": pick("consumer").select("node_id", F.col("path").alias("file_path"), F.lower("target").alias("topic"), "heuristic"),
+        "producers": pick("producer").select("node_id", F.col("path").alias("file_path"), T.topic_key(F.col("target")).alias("topic"), "heuristic"),
+        "consumers": pick("consumer").select("node_id", F.col("path").alias("file_path"), T.topic_key(F.col("target")).alias("topic"), "heuristic"),
         "rpc_calls": pick("rpc_call").select("node_id", "target"),
     }
 

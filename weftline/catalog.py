@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from weftline.queries import audit, docs, flow, graph, scalars, wire  # noqa: F401  (they register themselves)
+from weftline.queries import audit, docs, flow, graph, modules, reading, scalars, wire  # noqa: F401  (they register themselves)
 from weftline.queries.registry import CATALOG, Query
 
 

@@ -66,19 +66,33 @@ def audit_window(spark: SparkSession, sf: str) -> DataFrame:
     return e.where(F.col("us") >= last - 7 * 86400 * 1_000_000).groupBy("tool").agg(F.count(F.lit(1)).alias("calls"))
 
 
+def _chain(spark: SparkSession, sf: str) -> DataFrame:
+    """Entries of which every odd one follows its even one, with changes by number: fields changed or nulled after
+    hashing, a null link, details with and without a signature, both versions, and a missing entry."""
+    e = P.read(spark, sf, "events").select(F.col("event_id").alias("entry_seq"))
+    k = F.col("entry_seq")
+    rows = e.select(
+        "entry_seq", F.concat(F.lit("t"), k).alias("timestamp"), F.concat(F.lit("s"), k % 7).alias("session_id"), F.concat(F.lit("tool"), k % 3).alias("tool"),
+        audit.args_digest(k.cast("string")).alias("args_digest"), F.lit("SUCCESS").alias("status"), F.array(F.concat(F.lit("/f/"), k)).alias("files"), F.lit(0).alias("redacted"),
+    ).withColumn("chain_version", F.when(k % 20 == 13, 1).when(k % 20 == 15, 1).otherwise(2))
+    even = rows.where("entry_seq % 2 = 0").withColumn("prev_hash", F.sha2(F.concat(F.lit("p"), k), 256))
+    even = even.withColumn("entry_hash", audit.entry_hash(F.col("prev_hash")))
+    odd = rows.where("entry_seq % 2 = 1").join(even.select((k + 1).alias("entry_seq"), F.col("entry_hash").alias("prev_hash")), "entry_seq")
+    written = F.when(k % 20 == 15, F.lit(2)).otherwise(F.col("chain_version"))
+    odd = odd.withColumn("entry_hash", audit.entry_hash(F.col("prev_hash"), written))
+    odd = odd.withColumn("tool", F.when(k % 20 == 3, F.lit("other")).when(k % 20 == 5, F.lit(None)).otherwise(F.col("tool"))).withColumn("prev_hash", F.when(k % 20 != 7, F.col("prev_hash")))
+    both = even.unionByName(odd.select(*even.columns))
+    detail = F.when(k % 20 == 9, "unsigned").when(k % 20 == 11, "signed")
+    return both.withColumns({"error_detail": detail, "error_detail_sig": F.when(k % 20 == 11, audit.detail_signature(F.col("entry_hash"), detail))}).where("entry_seq % 20 != 16")
+
+
 @register(
     "audit_chain_verify",
-    """WITH h AS (SELECT event_id, sha256('v' || (event_id - 1)::VARCHAR) AS prev_hash,
-                   CASE WHEN event_id % 997 = 5 THEN sha256('tampered') ELSE sha256('v' || event_id::VARCHAR) END AS entry_hash FROM events),
-       l AS (SELECT *, lag(entry_hash) OVER (ORDER BY event_id) AS expected, lag(event_id) OVER (ORDER BY event_id) AS before FROM h)
-       SELECT event_id AS entry_seq, 'link' AS reason FROM l WHERE before = event_id - 1 AND prev_hash <> expected""",
+    """SELECT event_id AS entry_seq, CASE WHEN event_id % 2 = 0 OR event_id % 20 = 7 THEN 'link' WHEN event_id % 20 IN (3, 5, 15) THEN 'hash' WHEN event_id % 20 = 9 THEN 'detail' ELSE 'gap' END AS reason
+       FROM events WHERE event_id % 20 <> 16 AND (event_id % 2 = 0 OR event_id % 20 IN (3, 5, 7, 9, 15, 17))""",
 )
 def audit_chain_verify(spark: SparkSession, sf: str) -> DataFrame:
-    e = P.read(spark, sf, "events").select(F.col("event_id").alias("entry_seq"))
-    h = lambda k: F.sha2(F.concat(F.lit("v"), k.cast("string")), 256)
-    rows = e.select("entry_seq", h(F.col("entry_seq") - 1).alias("prev_hash"), F.when(F.col("entry_seq") % 997 == 5, F.sha2(F.lit("tampered"), 256)).otherwise(h(F.col("entry_seq"))).alias("entry_hash"))
-    before = rows.select((F.col("entry_seq") + 1).alias("entry_seq"), F.col("entry_hash").alias("expected"))
-    return rows.join(before, "entry_seq").where("prev_hash != expected").select("entry_seq", F.lit("link").alias("reason"))
+    return audit.verify_chain(_chain(spark, sf))
 
 
 @register(

@@ -198,11 +198,16 @@ class Script:
             if self.kind[i] != "id":
                 continue
             if self.value[i] in ("const", "let", "var") and self.is_id(i + 1):
-                k = i + 2
-                if self.is_op(k, ":"):
-                    k = next((x for x in range(k, min(k + 60, len(self))) if self.is_op(x, "=") or self.is_op(x, ";")), k)
-                if self.is_op(k, "="):
-                    out.append((self.value[i + 1], i + 1, k + 1, self.end_of_expression(k + 1), self.value[i] == "const"))
+                at = i + 1
+                while self.is_id(at):  # one declarator after another
+                    k = at + 1
+                    if self.is_op(k, ":"):
+                        k = next((x for x in range(k, min(k + 60, len(self))) if self.is_op(x, "=") or self.is_op(x, ";")), k)
+                    end = k
+                    if self.is_op(k, "="):
+                        end = self.end_of_expression(k + 1)
+                        out.append((self.value[at], at, k + 1, end, self.value[i] == "const"))
+                    at = end + 1 if self.is_op(end, ",") and self.is_id(end + 1) and (self.is_op(end + 2, "=") or self.is_op(end + 2, ":") or self.is_op(end + 2, ",")) else len(self)
             elif self.is_op(i + 1, "=") and not self.is_op(i + 2, "=") and not self.is_op(i + 2, ">"):
                 field = self.is_op(i - 1, ".") and self.is_id(i - 2, "this")
                 member = self.around[i] in self.class_bodies and not self.is_op(i - 1, ".")

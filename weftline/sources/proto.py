@@ -6,6 +6,10 @@ import re
 from collections.abc import Iterator
 from typing import NamedTuple
 
+import pandas as pd
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
 MAX_NUMBER = 536_870_911
 _TOKEN = re.compile(r"//[^\n]*|/\*.*?\*/|\"(?:[^\"\\]|\\.)*\"|'(?:[^'\\]|\\.)*'|[A-Za-z_.][\w.]*|-?\d[\w.]*|[{}()\[\]<>=;,:+-]", re.S)
 
@@ -212,3 +216,20 @@ class Parser:
 
 def parse(text: str, canonical: bool = True) -> Parser:
     return Parser(text).run(canonical)
+
+
+FIELDS = "source string, message string, number int, name string, cardinality string, value_type string, map_key string, oneof string, line int"
+
+
+def fields(texts: DataFrame) -> DataFrame:
+    """Message fields of schema texts.  texts: text, and source if there are several."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        names = [c.split()[0] for c in FIELDS.split(", ")]
+        for b in batches:
+            rows = [{"source": source} | f for source, text in zip(b["source"], b["text"], strict=True) for f in parse(text or "").fields]
+            frame = pd.DataFrame(rows, columns=names, dtype=object)
+            yield frame.where(frame.notna(), None)
+
+    source = F.col("source") if "source" in texts.columns else F.lit(None).cast("string").alias("source")
+    return texts.select(source, "text").mapInPandas(run, FIELDS)

@@ -156,3 +156,12 @@ def test_chain(spark, tmp_path):
     assert audit.since(table(rows), "all", now).count() == 5 and audit.since(table(rows), "1m", now).count() == 5 and audit.since(table(rows), "24h", now + 86_398).count() == 3
     with pytest.raises(ValueError):
         audit.since(table(rows), "soon", now)
+
+
+def test_start_topics(spark):
+    from weftline.operators import topics
+
+    facts = spark.createDataFrame([("event_created",), ("ws_event_created_feedback",), ("orders.eu",), ("orders.us",)], "topic string")
+    start = lambda t: {r["topic"] for r in topics.start_topics(facts, t).collect()}
+    assert start("EVENT_CREATED") == {"event_created"} == start("event.created") == start("Events.EVENT_CREATED")
+    assert start("orders") == {"orders.eu", "orders.us"} and start("'orders.eu'") == {"orders.eu"} and start("nope") == set()

@@ -43,18 +43,32 @@ def wildcard_edges(producers: DataFrame, subscriptions: DataFrame, most: int = s
     return first.withColumn("r", F.row_number().over(w)).where(F.col("r") <= most).select("pattern", "topic", "node_id")
 
 
+def start_topics(facts: DataFrame, target: str) -> DataFrame:
+    """topic: the keys a target means: that key; else the keys that hold it; if no key holds it, the same for its
+    spelling with ``_`` in place of ``. : - /``.  facts: topic."""
+    keys = facts.select("topic").distinct()
+    raw = T.topic_key(F.lit(target))
+    other = F.regexp_replace(raw, "[.:/-]", "_")
+    flag = lambda c: F.coalesce(F.max(c), F.lit(False))
+    told = [flag(test("topic", k)) for k in (raw, other) for test in (F.contains, lambda c, k: F.col(c) == k)]
+    holds, equals, other_holds, other_equals = keys.agg(*told).first()  # four truth values
+    key, exact = (other, other_equals) if not holds and other_holds else (raw, equals)
+    return keys.where(F.col("topic") == key if exact else F.contains("topic", key))
+
+
 def impact_walk(producers: DataFrame, consumers: DataFrame, topic: str, depth: int = 1) -> DataFrame:
-    """(hop, role, node_id, topic) reached from a topic within ``depth`` (1..5) hops.
+    """(hop, role, node_id, topic) reached from a topic (see ``start_topics``) within ``depth`` (1..5) hops.
 
     A hop goes from frontier consumers to topics that they, or producers in their files, produce,
     and on to new consumers of those topics.  Topics and nodes count once, at their first hop; the
     frontier alone is joined against the facts, by equi-joins, and hops are bounded, so lineage is too.
     """
     depth = min(max(depth, 1), schema.IMPACT_HOPS)
-    key = topic.lower()
     p, c = producers.select("node_id", "file_path", "topic").distinct(), consumers.select("node_id", "file_path", "topic").distinct()
-    topics = p.select("topic").union(c.select("topic")).where(F.col("topic") == key).distinct().withColumn("hop", F.lit(1))
-    start = p.where(F.col("topic") == key).select(F.lit(1).alias("hop"), F.lit("producer").alias("role"), "node_id", "topic")
+    topics = start_topics(p.select("topic").union(c.select("topic")), topic).withColumn("hop", F.lit(1))
+    if depth > 1:
+        topics = materialize(topics, "walk-topics-1")
+    start = p.join(topics.select("topic"), "topic", "left_semi").select(F.lit(1).alias("hop"), F.lit("producer").alias("role"), "node_id", "topic")
     if depth > 1:  # a hop is read several times later; lineage must not multiply
         p, c = materialize(p, "walk-producers"), materialize(c, "walk-consumers")
 

@@ -130,10 +130,12 @@ def page_by_budget(spark: SparkSession, sf: str) -> DataFrame:
 
 
 _TOPO = EDGES_SQL + """, grp AS (SELECT id, repo_id::VARCHAR AS grp FROM pn UNION ALL SELECT id, repo_id::VARCHAR FROM sn),
- pl AS (SELECT e.*, a.grp AS from_grp, b.grp AS to_grp FROM edg e JOIN grp a ON a.id = e.node_id JOIN grp b ON b.id = e.to_id),
- un AS (SELECT node_id, from_grp, target, min(to_grp) AS to_grp, max(to_grp) AS last FROM pl WHERE confidence = 'ambiguous' GROUP BY 1, 2, 3),
- al AS (SELECT from_grp, to_grp FROM pl WHERE confidence <> 'ambiguous' UNION ALL SELECT from_grp, to_grp FROM un WHERE to_grp = last),
- li AS (SELECT from_grp, to_grp, 'imports' AS kind, count(*)::BIGINT AS count, 'heuristic' AS confidence FROM al WHERE from_grp <> to_grp GROUP BY 1, 2),
+ al_e AS (SELECT node_id, target, to_id, confidence, 'imports' AS kind FROM edg UNION ALL
+   SELECT s.id, p.package || '.' || p.name, (SELECT min(q.id) FROM pn q WHERE q.package = p.package AND q.name = p.name), 'exact', 'calls_rpc' FROM sn s JOIN pn p ON p.id = s.id - 1000000000000),
+ pl AS (SELECT e.*, a.grp AS from_grp, b.grp AS to_grp FROM al_e e JOIN grp a ON a.id = e.node_id JOIN grp b ON b.id = e.to_id),
+ un AS (SELECT node_id, from_grp, target, kind, min(to_grp) AS to_grp, max(to_grp) AS last FROM pl WHERE confidence = 'ambiguous' GROUP BY 1, 2, 3, 4),
+ al AS (SELECT from_grp, to_grp, kind, CASE confidence WHEN 'exact' THEN 0 ELSE 1 END AS rank FROM pl WHERE confidence <> 'ambiguous' UNION ALL SELECT from_grp, to_grp, kind, 1 FROM un WHERE to_grp = last),
+ li AS (SELECT from_grp, to_grp, kind, count(*)::BIGINT AS count, CASE max(rank) WHEN 0 THEN 'exact' ELSE 'heuristic' END AS confidence FROM al WHERE from_grp <> to_grp GROUP BY 1, 2, 3),
  de AS (SELECT g.grp, count(*)::BIGINT AS contracts FROM grp g GROUP BY 1),
  dg AS (SELECT d.grp, contracts, coalesce((SELECT sum(count) FROM (SELECT from_grp AS g, count FROM li UNION ALL SELECT to_grp, count FROM li) x WHERE x.g = d.grp), 0)::BIGINT AS degree,
           coalesce((SELECT count(*) FROM al WHERE from_grp = to_grp AND from_grp = d.grp), 0)::BIGINT AS internal FROM de d)"""
@@ -141,7 +143,8 @@ _TOPO = EDGES_SQL + """, grp AS (SELECT id, repo_id::VARCHAR AS grp FROM pn UNIO
 
 def _topology(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     nodes = P.part_nodes(spark, sf).unionByName(P.supplier_nodes(spark, sf))
-    return topology.build(import_edges(spark, sf), nodes.select("id", F.col("repo_id").cast("string").alias("grp")))
+    called = import_resolve_by_package(spark, sf).select(F.col("node_id").alias("from_id"), "to_id", F.lit("calls_rpc").alias("kind"), F.col("target").alias("metadata"), "confidence")
+    return topology.build(import_edges(spark, sf).unionByName(called), nodes.select("id", F.col("repo_id").cast("string").alias("grp")))
 
 
 @register("topology_links", f"WITH {_TOPO} SELECT * FROM li")
@@ -162,8 +165,8 @@ def topology_omitted(spark: SparkSession, sf: str) -> DataFrame:
 @register(
     "topology_select",
     f"""WITH {_TOPO}, top AS (SELECT grp FROM dg ORDER BY degree DESC, contracts DESC, grp LIMIT 8),
-        s AS (SELECT CASE WHEN from_grp IN (FROM top) THEN from_grp ELSE 'other' END AS from_grp, CASE WHEN to_grp IN (FROM top) THEN to_grp ELSE 'other' END AS to_grp, kind, count FROM li)
-        SELECT from_grp, to_grp, kind, sum(count)::BIGINT AS count, 'heuristic' AS confidence FROM s WHERE from_grp <> to_grp GROUP BY 1, 2, 3""",
+        s AS (SELECT CASE WHEN from_grp IN (FROM top) THEN from_grp ELSE 'other' END AS from_grp, CASE WHEN to_grp IN (FROM top) THEN to_grp ELSE 'other' END AS to_grp, kind, count, CASE confidence WHEN 'exact' THEN 0 ELSE 1 END AS rank FROM li)
+        SELECT from_grp, to_grp, kind, sum(count)::BIGINT AS count, CASE max(rank) WHEN 0 THEN 'exact' ELSE 'heuristic' END AS confidence FROM s WHERE from_grp <> to_grp GROUP BY 1, 2, 3""",
 )
 def topology_select(spark: SparkSession, sf: str) -> DataFrame:
     links, degrees, _ = _topology(spark, sf)

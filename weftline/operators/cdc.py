@@ -55,3 +55,46 @@ def evict(entries: DataFrame, quota: int, target: float = 0.8, bins: int = 4096)
     inside = Window.partitionBy("bin").orderBy(F.desc("last_access"), F.desc("id")).rowsBetween(Window.unboundedPreceding, 0)
     rows = rows.join(base, "bin").withColumn("run", F.col("base") + F.sum("bytes").over(inside))
     return rows.where(F.col("run") <= target * quota).select(*entries.columns)
+
+
+def stat_changed(files: DataFrame, known: DataFrame) -> DataFrame:
+    """Files that are new or whose time or size differs from what is known: only these are read.  both: key, mtime, size."""
+    return files.join(known.select("key", "mtime", "size").distinct(), ["key", "mtime", "size"], "left_anti")
+
+
+def check_and_update(read: DataFrame, known: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(keys whose content differs, signatures from now on).  read: key, mtime, size, hash of files that were read."""
+    changed = read.join(known.select("key", F.col("hash").alias("old")), "key", "left").where(~F.col("hash").eqNullSafe(F.col("old"))).select("key")
+    return changed, known.join(read.select("key"), "key", "left_anti").unionByName(read.select(*known.columns))
+
+
+def reload_scope(events: DataFrame) -> DataFrame:
+    """(root, full, paths): what a batch of events asks of each root: everything again after a reference change, an event of a
+    folder or a vanished parent, else the distinct paths.  events: root, path, kind, is_dir, parent_exists."""
+    whole = (F.col("kind") == "ref") | F.coalesce("is_dir", F.lit(False)) | ~F.coalesce("parent_exists", F.lit(True))
+    rows = events.groupBy("root").agg(F.max(whole.cast("int")).alias("f"), F.sort_array(F.collect_set(F.when(F.col("kind") == "tree", F.col("path")))).alias("p"))
+    return rows.select("root", (F.col("f") == 1).alias("full"), F.when(F.col("f") == 0, F.col("p")).otherwise(F.array().cast("array<string>")).alias("paths"))
+
+
+class PageCache:
+    """Pages by generation and key; one is given out only for the generation it was made in and unchanged files."""
+
+    def __init__(self, most: int = 64):
+        self.most, self.generation, self.pages = most, 0, {}
+
+    def put(self, generation: int, key: tuple, page: str, stamps: dict[str, tuple[int, int]]) -> None:
+        if generation != self.generation:
+            self.generation, self.pages = generation, {}
+        self.pages.pop(key, None)
+        self.pages[key] = (page, stamps)
+        while len(self.pages) > self.most:
+            self.pages.pop(next(iter(self.pages)))
+
+    def get(self, generation: int, key: tuple, stamp_of) -> str | None:
+        if generation != self.generation or key not in self.pages:
+            return None
+        page, stamps = self.pages[key]
+        if any(stamp_of(path) != stamp for path, stamp in stamps.items()):
+            del self.pages[key]
+            return None
+        return page

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Scalar types by wire class (fixed values).
@@ -117,3 +117,24 @@ def diff_enums(old: DataFrame, new: DataFrame, reserved_old: DataFrame, reserved
         .when(F.col("o") != F.col("n"), F.when(F.col("moved"), "EnumNumberReused").otherwise("EnumRenamedWarning"))
     )
     return rows.select("enum", "number", rule.alias("rule")).where("rule is not null")
+
+
+def diff_texts(spark: SparkSession, old, new) -> DataFrame:
+    """(scope, number, rule, old_name, new_name) between two parsed schema files: fields, enums, removed messages."""
+
+    def tables(p) -> tuple[DataFrame, DataFrame, DataFrame]:
+        fields = spark.createDataFrame([(f["message"], f["number"], f["name"], f["cardinality"], f["value_type"]) for f in p.fields], FIELDS)
+        names = {f["message"] for f in p.fields} | {n["name"] for n in p.nodes if n and n["kind"] == "proto_message"}
+        both = lambda xs: spark.createDataFrame(sorted({(y,) for x in xs for y in (x, x.rsplit(".", 1)[-1])}), "type_name string")
+        typed = wire_class(fields, both(names), both({e["enum"] for e in p.enums}))
+        reserved = spark.createDataFrame([(r["message"], r["lo"], r["hi"], r["name"]) for r in p.reserved], "message string, lo int, hi int, name string")
+        return typed, reserved, spark.createDataFrame([(e["enum"], e["number"], e["name"]) for e in p.enums], "enum string, number int, name string")
+
+    (f1, r1, e1), (f2, r2, e2) = tables(old), tables(new)
+    fields = diff_fields(f1, f2, r1, r2).select(F.col("message").alias("scope"), "number", "rule", "old_name", "new_name")
+    ranges = lambda r: r.where("lo is not null").select(F.col("message").alias("enum"), "lo", "hi")
+    none = F.lit(None).cast("string")
+    enums = diff_enums(e1, e2, ranges(r1), ranges(r2)).select(F.col("enum").alias("scope"), "number", "rule", none.alias("old_name"), none.alias("new_name"))
+    gone = sorted({f["message"] for f in old.fields} - {f["message"] for f in new.fields} - {n["name"] for n in new.nodes if n})
+    removed = spark.createDataFrame([(m, None, "RemovedMessage", None, None) for m in gone], "scope string, number int, rule string, old_name string, new_name string")
+    return fields.unionByName(enums).unionByName(removed)

@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from weftline import schema
 from weftline.functions import text as T
-from weftline.sources import javascript, proto
+from weftline.sources import javascript, proto, rpc_records
 
 FACTS = "path string, repo_id int, what string, local int, name string, kind string, line_start int, line_end int, package string, signature string, docstring string, target string, heuristic boolean"
 VERBS = "get|post|put|patch|delete|head|options"
@@ -144,7 +144,7 @@ RULES: dict[str, dict] = {
     "go": {
         "package": r"^\s*package\s+(\w+)", "import": r"^\s*(?:import\s+)?(?:[\w.]+\s+)?\"([\w./-]+)\"\s*$",
         "nodes": [("interface", rf"^type\s+{_IDENT}\s+interface\b"), ("service_class", rf"^type\s+{_IDENT}\s+(?!interface\b)\S+"), ("service_class", rf"^func\s+(?:\([^)]*\)\s*)?{_IDENT}\s*[\[(]"), ("grpc_service", r"\bRegister(?P<name>\w+)Server\s*\(")],
-        "facts": [("rpc_call", r"\.New(\w+)Client\s*\("), ("producer", r"(?:kafka\.Message|kafka\.Writer|WriterConfig|ProducerMessage)\s*\{[^}]*?Topic:\s*\"([^\"]+)\""), ("consumer", r"ReaderConfig\s*\{[^}]*?Topic:\s*\"([^\"]+)\"")],
+        "facts": [("rpc_call", r"\.New(\w+)Client\s*\("), ("producer", r"(?:kafka\.Message|kafka\.Writer|WriterConfig|ProducerMessage)\s*\{[^}]*?Topic:\s*(?:\"([^\"]+)\"|(\w+))"), ("consumer", r"ReaderConfig\s*\{[^}]*?Topic:\s*(?:\"([^\"]+)\"|(\w+))")],
         "routes": [rf"\.\s*(?P<verb>(?i:{VERBS}))\s*\(\s*\"(?P<path>/[^\"]*)\"\s*,"],
     },
     "typescript": {
@@ -153,7 +153,7 @@ RULES: dict[str, dict] = {
         "facts": [], "routes": [],  # read from tokens, see _script
     },
     "rust": {
-        "package": None, "import": r"^\s*(?:pub\s+)?use\s+([\w:]+(?:::\{[^}]*\})?)",
+        "package": None, "import": r"^\s*(?:pub(?:\([^)]*\))?\s+)?use\s+([^;]+);",
         "nodes": [("interface", rf"^\s*(?:pub(?:\([^)]*\))?\s+)?trait\s+{_IDENT}"), ("service_class", rf"^\s*(?:pub(?:\([^)]*\))?\s+)?(?:struct|enum)\s+{_IDENT}"), ("service_class", rf"^\s*(?:pub(?:\([^)]*\))?\s+)?(?:async\s+)?(?:unsafe\s+)?fn\s+{_IDENT}")],
         "facts": [("producer", r"FutureRecord::to\(\s*\"([^\"]+)\""), ("consumer", r"\.subscribe\(\s*&\[\s*\"([^\"]+)\"")],
         "routes": [r"\.route\(\s*\"(?P<path>/[^\"]*)\"\s*,\s*(?P<verb>\w+)\s*\(", r"#\[(?P<verb>get|post|put|patch|delete)\(\s*\"(?P<path>[^\"]*)\""],
@@ -220,12 +220,18 @@ def _by_rules(path: str, text: str, out: Facts, rules: dict) -> None:
             out.node(label, "http_endpoint", line(m.start()), line(m.end()), label)
     if not out.nodes and clean.strip():
         out.node(path.rsplit("/", 1)[-1].rsplit(".", 1)[0], "module", 1, len(lines))
+    named = go_constants(clean) if path.endswith(".go") else {}
     for what, pattern in rules["facts"]:
         for m in re.finditer(pattern, clean, re.S):
             at = out.enclosing(line(m.start()))
-            out.fact(what, 0 if at is None else at, m[1])
+            target = m[1] if m.lastindex == 1 else m[2] and named.get(m[2])
+            if target:
+                out.fact(what, 0 if at is None else at, target)
     bodies = ["\n".join(lines[n["line_start"] - 1 : n["line_end"]]) for n in out.nodes]
-    for target in dict.fromkeys(m[1].strip() for m in re.finditer(rules["import"], clean, re.M)):
+    found = (m[1].strip() for m in re.finditer(rules["import"], clean, re.M))
+    if path.endswith(".rs"):
+        found = (p for tree in found for p in use_paths(tree))
+    for target in dict.fromkeys(found):
         used = re.split(r"[./:\\]+", re.sub(r"\.\w+$", "", target) if "/" in target else target)[-1]
         for k, body in enumerate(bodies):
             if used in ("*", "") or "/" in target or used in body:
@@ -254,7 +260,8 @@ def _script(path: str, text: str, out: Facts) -> None:
         out.node(stem, "service_class", 1, lines, None)
     broker, http = javascript.mentions_broker(view), javascript.mentions_http(view)
     api = "trpc" in view or "TRPC" in view or "graphql" in view.lower()
-    if not (broker or http or api):
+    typed = "Client" in view or "Service" in view or "Grpc" in view or "enum " in view or "const " in view
+    if not (broker or http or api or typed):
         return
     script = javascript.Script(view)
     for r in javascript.routes(script) if http else []:
@@ -265,6 +272,42 @@ def _script(path: str, text: str, out: Facts) -> None:
     for e in javascript.events(script) if broker else []:
         at = out.enclosing(e["line"])
         out.fact("producer" if e["role"] == "produce" else "consumer", 0 if at is None else at, e["name"], e["heuristic"])
+    for line, record in rpc_records.records(script) if typed else []:
+        at = out.enclosing(line)
+        if at is not None:
+            out.fact("rpc_record", at, record)
+
+
+def use_paths(text: str, prefix: str = "") -> list[str]:
+    """Paths of a Rust ``use`` tree: ``a::{b, c::*}`` -> ``a::b``, ``a::c::*`` ends as ``a::c``."""
+    text = text.strip()
+    if "{" in text:
+        head = text[: text.index("{")].strip().removesuffix("::").strip()
+        inner = text[text.index("{") + 1 : text.rindex("}") if "}" in text else len(text)]
+        joined = "::".join(p for p in (prefix, head) if p)
+        parts, depth, last = [], 0, 0
+        for k, c in enumerate(inner + ","):
+            depth += (c == "{") - (c == "}")
+            if c == "," and depth == 0:
+                parts.append(inner[last:k])
+                last = k + 1
+        return [p for part in parts for p in use_paths(part, joined)]
+    path = text.split(" as ")[0].strip()
+    path = path.removesuffix("::*")
+    if path in ("", "self", "*"):
+        return [prefix] if prefix and text else []
+    return ["::".join(p for p in (prefix, path) if p)]
+
+
+def go_constants(clean: str) -> dict[str, str]:
+    """String constants of a Go file, and variables set by a function of the file that reads the environment with a
+    literal to fall back on."""
+    readers = {m[1] for m in re.finditer(r"func\s+(\w+)\s*\([^)]*\)\s*string\s*\{(.*?)\n\}", clean, re.S) if re.search(r"os\.(?:Getenv|LookupEnv)\(", m[2])}
+    out = {m[1]: m[2] for m in re.finditer(r"\b(\w+)\s*(?:string\s*)?(?::=|=)\s*\"([^\"\n]*)\"\s*$", clean, re.M)}
+    for m in re.finditer(r"\b(\w+)\s*(?:string\s*)?(?::=|=)\s*(\w+)\(\s*\"[^\"\n]*\"\s*,\s*\"([^\"\n]*)\"\s*\)", clean):
+        if m[2] in readers:
+            out[m[1]] = m[3]
+    return out
 
 
 def extract_text(path: str, language: str | None, text: str) -> tuple[Facts, bool]:
@@ -316,6 +359,7 @@ def tables(facts: DataFrame) -> dict[str, DataFrame]:
         "nodes": nodes,
         "imports": pick("import").select("node_id", "target"),
         "producers": pick("producer").select("node_id", F.col("path").alias("file_path"), T.topic_key(F.col("target")).alias("topic"), "heuristic"),
+        "rpc_records": pick("rpc_record").select("node_id", F.col("target").alias("record")),
         "consumers": pick("consumer").select("node_id", F.col("path").alias("file_path"), T.topic_key(F.col("target")).alias("topic"), "heuristic"),
         "rpc_calls": pick("rpc_call").select("node_id", "target"),
     }

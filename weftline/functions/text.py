@@ -217,7 +217,10 @@ def terminal_safe(text: Column) -> Column:
 
 
 def secret_blob(run: Column) -> Column:
-    return (F.length(run) >= 32) & run.rlike("[A-Za-z]") & run.rlike("[0-9]") & run.rlike("^[A-Za-z0-9+/=_-]+$")
+    """32 letters and digits or more; with other signs it must mix digits, upper and lower case."""
+    upper, lower = run.rlike("[A-Z]"), run.rlike("[a-z]")
+    plain = run.rlike("^[A-Za-z0-9]+$")
+    return (F.length(run) >= 32) & run.rlike("[0-9]") & F.when(plain, upper | lower).otherwise(upper & lower)
 
 
 def is_subject_pattern(key: Column) -> Column:

@@ -7,12 +7,13 @@ from pyspark.sql import functions as F
 
 from weftline.functions import file_routes as R
 from weftline.functions import labels as L
+from weftline.functions import secrets as S
 from weftline.functions import text as T
-from weftline.operators import graph, health
+from weftline.operators import cdc, graph, health
 from weftline.operators import guard as G
 from weftline.plans import projections as P
 from weftline.queries.registry import register
-from weftline.sources import extract, markdown, proto, yaml_files
+from weftline.sources import extract, markdown, outline, proto, yaml_files
 
 K = "p_partkey"
 
@@ -209,3 +210,80 @@ def path_predicates(spark: SparkSession, sf: str) -> DataFrame:
     k = F.col(K)
     path = _text("r/p", k, F.when(k % 5 == 0, "/logo.png").when(k % 5 == 1, "/a.ts").when(k % 5 == 2, "/codegen/a_pb2.py").when(k % 5 == 3, "/tsconfig.app.json").otherwise("/notes.txt"))
     return _part(spark, sf).select(k.alias("id"), L.is_non_source(path).alias("skipped"), L.is_indexable_source(path).alias("indexable"), L.is_relevant_path(path).alias("relevant"), T.is_generated_path(path).alias("generated"))
+
+
+@register(
+    "error_messages",
+    """SELECT p_partkey AS id, CASE p_partkey % 4 WHEN 0 THEN 'bad token=[REDACTED_SECRET: USE_ENV_OR_LOCAL_FALLBACK] in ~/f' || p_partkey WHEN 1 THEN 'invalid type: string <value>, expected u32 at ' || p_partkey
+         WHEN 2 THEN 'a b ' || p_partkey ELSE repeat('x', 197) || '...' END AS message FROM part""",
+)
+def error_messages(spark: SparkSession, sf: str) -> DataFrame:
+    k = F.col(K)
+    raw = (
+        F.when(k % 4 == 0, _text("bad token=s3cr3t", k, " in /home/u", k, "/f", k)).when(k % 4 == 1, _text('invalid type: string "user, expected ', k, '", expected u32 at ', k))
+        .when(k % 4 == 2, _text("a\n\t b ", k)).otherwise(F.lit("x" * 300))
+    )
+    return _part(spark, sf).select(k.alias("id"), S.sanitized_message(raw).alias("message"))
+
+
+@register(
+    "redacted_lines",
+    """SELECT p_partkey AS id, CASE p_partkey % 4 WHEN 0 THEN 'const apiToken = [REDACTED_SECRET: USE_ENV_OR_LOCAL_FALLBACK];' WHEN 1 THEN 'password: dto.password' || p_partkey WHEN 2 THEN 'DB_SECRET = ''db_secret''' ELSE 'plain = ''v' || p_partkey || '''' END AS line FROM part""",
+)
+def redacted_lines(spark: SparkSession, sf: str) -> DataFrame:
+    k = F.col(K)
+    line = F.when(k % 4 == 0, _text("const apiToken = 'v", k, "';")).when(k % 4 == 1, _text("password: dto.password", k)).when(k % 4 == 2, F.lit("DB_SECRET = 'db_secret'")).otherwise(_text("plain = 'v", k, "'"))
+    return _part(spark, sf).select(k.alias("id"), S.redacted_line(line).alias("line"))
+
+
+@register(
+    "source_outlines",
+    """SELECT '/r/src/f' || p_partkey || '.java' AS file_path, 'class C' || p_partkey || ' {' || chr(10) || '  int f(int x) { /* stripped */ }' || chr(10) || '}' || chr(10) AS text, '1-1,2-' || (4 + p_partkey % 3) || ',' || (5 + p_partkey % 3) || '-' || (5 + p_partkey % 3) AS lines FROM part""",
+)
+def source_outlines(spark: SparkSession, sf: str) -> DataFrame:
+    """Bodies of one to three lines stripped, with the original lines of what is left."""
+    k = F.col(K)
+    text = _text("class C", k, " {\n  int f(int x) {\n", F.expr("repeat('    if (x > 0) { x--; }\\n', CAST(1 + p_partkey % 3 AS INT))"), "  }\n}\n")
+    rows = outline.outlines(_files(spark, sf, text, ".java", "java").withColumnRenamed("path", "file_path"))
+    return rows.select("file_path", "text", F.array_join(F.transform("line_map", lambda s: F.concat_ws("-", s["first"], s["last"])), ",").alias("lines"))
+
+
+@register(
+    "hit_snippets",
+    """SELECT '/r/src/f' || p_partkey || '.py' AS file_path, (3 + p_partkey % 4)::INTEGER AS line, TRUE AS shown FROM part WHERE p_partkey % 5 <> 0""",
+)
+def hit_snippets(spark: SparkSession, sf: str) -> DataFrame:
+    """The verified line of a hit, or the first that mentions the query; files that do not mention it have none."""
+    k = F.col(K)
+    text = _text(F.expr("repeat('# c\\n', CAST(2 + p_partkey % 4 AS INT))"), F.when(k % 5 == 0, "def other():\n").otherwise("def wanted():\n"), "    return 1\n")
+    files = _files(spark, sf, text, ".py", "python").withColumnRenamed("path", "file_path")
+    page = _part(spark, sf).select(_text("/r/src/f", k, ".py").alias("file_path"), F.when(k % 2 == 0, (k % 4 + 3).cast("int")).otherwise(900).alias("anchor"))
+    rows = outline.snippets(page, files, "wanted")
+    return rows.select("file_path", "line", F.contains("snippet", F.lit("def wanted():")).alias("shown"))
+
+
+@register(
+    "changed_content",
+    """SELECT o_orderkey AS key FROM orders WHERE o_orderkey % 7 = 3 UNION ALL SELECT o_orderkey FROM orders WHERE o_orderkey % 7 = 5""",
+)
+def changed_content(spark: SparkSession, sf: str) -> DataFrame:
+    """Files that are new or differ in time or size are read; of these the ones whose content differs have changed."""
+    k = F.col("o_orderkey")
+    o = P.read(spark, sf, "orders").select(k.alias("key"), F.sha2(F.concat_ws("|", k, "o_orderstatus"), 256).alias("hash"))
+    k = F.col("key")
+    known = o.where("key % 7 != 5").select("key", F.lit(1).alias("mtime"), (k % 100).alias("size"), "hash")
+    now = o.select("key", F.when(k % 7 == 3, 2).when(k % 7 == 4, 2).otherwise(1).alias("mtime"), (k % 100).alias("size"), F.when(k % 7 == 3, F.sha2(F.concat("hash", F.lit("x")), 256)).otherwise(F.col("hash")).alias("hash"))
+    read = now.join(cdc.stat_changed(now.select("key", "mtime", "size"), known), ["key", "mtime", "size"], "left_semi")
+    return cdc.check_and_update(read.select("key", "mtime", "size", "hash"), known)[0]
+
+
+@register(
+    "reload_scopes",
+    """SELECT user_id AS root, max((event_id % 50 = 0)::INT) = 1 AS full_, CASE WHEN max((event_id % 50 = 0)::INT) = 1 THEN 0 ELSE count(DISTINCT event_type) FILTER (event_id % 3 <> 0) END::INTEGER AS paths FROM events GROUP BY 1""",
+)
+def reload_scopes(spark: SparkSession, sf: str) -> DataFrame:
+    """What each root's events ask for: everything after a reference change, else the distinct files."""
+    k = F.col("event_id")
+    kind = F.when(k % 50 == 0, "ref").when(k % 3 == 0, "activity").otherwise("tree")
+    events = P.read(spark, sf, "events").select(F.col("user_id").alias("root"), F.col("event_type").alias("path"), kind.alias("kind"), F.lit(False).alias("is_dir"), F.lit(True).alias("parent_exists"))
+    return cdc.reload_scope(events).select("root", F.col("full").alias("full_"), F.size("paths").alias("paths"))

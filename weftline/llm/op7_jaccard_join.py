@@ -318,8 +318,10 @@ def classes(docs: DataFrame, key: F.Column | None = None, id_col: str = "doc_id"
     named = materialize(_enough(named, sizes), "unsettled-blocks")
     more = verify(tree_join(block_trees(named, sets)), sets)
     labels = label_nodes(near.unionByName(more))
-    of_node = first.select("node").join(labels, "node", "left").select("node", F.coalesce("label", "node").alias("class"))
-    return owners.join(of_node, "node", "left").select("id", "key", "n", "class")
+    # a node may stand for a large part of all rows (exact copies): labels are few and come to the rows
+    labels = F.broadcast(labels) if labels.count() <= BROADCAST_ROWS else labels
+    of_class = F.when(F.col("n") > 0, F.coalesce("label", "node")).alias("class")
+    return owners.join(labels, "node", "left").select("id", "key", "n", of_class)
 
 
 def components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

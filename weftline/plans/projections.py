@@ -52,7 +52,7 @@ def consumers(spark: SparkSession, sf: str) -> DataFrame:
     """A customer of a part consumes the part's topic."""
     line = read(spark, sf, "lineitem").select("l_orderkey", "l_partkey")
     rows = line.join(read(spark, sf, "orders").select("o_orderkey", "o_custkey"), F.col("l_orderkey") == F.col("o_orderkey"))
-    return rows.select((F.col("o_custkey") + CUSTOMER_BASE).alias("node_id"), F.concat(F.lit("f"), F.col("o_custkey") % 500).alias("file_path"), F.concat(F.lit("part."), F.col("l_partkey")).alias("topic"), (F.col("o_custkey") % 5 == 0).alias("heuristic")).distinct()
+    return rows.select((F.col("o_custkey") + CUSTOMER_BASE).alias("node_id"), F.concat(F.lit("f"), F.col("o_custkey") % 700).alias("file_path"), F.concat(F.lit("part."), F.col("l_partkey")).alias("topic"), (F.col("o_custkey") % 5 == 0).alias("heuristic")).distinct()
 
 
 def sections(spark: SparkSession, sf: str) -> DataFrame:

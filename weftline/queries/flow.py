@@ -11,7 +11,7 @@ from weftline.queries.registry import register
 
 _FACTS = """
  pr AS (SELECT DISTINCT l_suppkey * 1000000 + l_partkey + 1000000000000 AS node_id, 'f' || ((l_suppkey * 37 + l_partkey) % 500) AS file_path, 'part.' || l_partkey AS topic, l_suppkey % 3 = 0 AS heuristic FROM lineitem),
- co AS (SELECT DISTINCT o_custkey + 2000000000000 AS node_id, 'f' || (o_custkey % 500) AS file_path, 'part.' || l_partkey AS topic, o_custkey % 5 = 0 AS heuristic FROM lineitem JOIN orders ON l_orderkey = o_orderkey)"""
+ co AS (SELECT DISTINCT o_custkey + 2000000000000 AS node_id, 'f' || (o_custkey % 700) AS file_path, 'part.' || l_partkey AS topic, o_custkey % 5 = 0 AS heuristic FROM lineitem JOIN orders ON l_orderkey = o_orderkey)"""
 
 
 @register(

@@ -90,6 +90,7 @@ def test_globs(spark, glob, yes, no):
 
 
 def test_patterns_and_roots(spark):
+    check(spark, lambda p: files.path_excluded(p, "/w/app"), {"/w/app/x.pem": True, "/w/app/x.ts": False, "/w/other/x.pem": None})
     rows = spark.createDataFrame([("a/x.ts",), ("secrets/k",)], "rel string")
     assert [r["pattern"] for r in files.unmatched_patterns(rows, ["**/secrets/**", "**/*.pem"]).collect()] == ["**/*.pem"]
     assert files.outer_roots(["/a/b", "/a", "/ab/", "/c"]) == ["/a", "/ab", "/c"]

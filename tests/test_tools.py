@@ -17,7 +17,8 @@ TS2 = "import { Kafka } from 'kafkajs';\nimport { UserController } from './users
 @pytest.fixture(scope="module")
 def store(spark, tmp_path_factory):
     files = spark.createDataFrame([
-        ("/w/proto/users.proto", 0, "protobuf", PROTO), ("/w/web/users.ts", 1, "typescript", TS), ("/w/mail/mailer.ts", 2, "typescript", TS2), ("/w/docs/guide.md", 0, "markdown", "# Users\nHow users are created\n# Other\nx\n"),
+        ("/w/proto/users.proto", 0, "protobuf", PROTO), ("/w/web/users.ts", 1, "typescript", TS), ("/w/mail/mailer.ts", 2, "typescript", TS2), ("/w/web/app/shop/[id]/route.ts", 1, "typescript", "export async function GET() {}\n"), ("/w/web/src/routes/about/+page.svelte", 1, "svelte", "<p>x</p>\n"),
+        ("/w/spec/asyncapi.yaml", 0, "yaml", "asyncapi: 2.0.0\nchannels:\n  Orders.Paid: {}\n"), ("/w/docs/guide.md", 0, "markdown", "# Users\nHow users are created\n# Other\nx\n"),
     ], "path string, repo_id int, language string, text string")
     folder = f"file://{tmp_path_factory.mktemp('store')}/s"
     assert tools.build_snapshot(files, folder) == 1
@@ -42,6 +43,8 @@ def test_other_tools(store):
     impact = tools.call(world, "impact", target="users.created")
     assert "| INTERNAL | producer |" in impact and "| EXTERNAL | consumer |" in impact
     assert "`GET /users/:id`" in tools.call(world, "impact", target="GET /users/5") and "Nearest:" in tools.call(world, "impact", target="GET /users/5/none")
+    assert "`GET /shop/:id`" in tools.call(world, "impact", target="GET /shop/7") and "asyncapi.yaml" in tools.call(world, "search", query="Orders.Paid")
+    assert "| producer | `Orders.Paid` |" in tools.call(world, "impact", target="orders.paid") and world.snapshot.nodes.where("name = 'PAGE /about'").count() == 1
     assert "How users are created" in tools.call(world, "docs", query="users created").split("Playbook")[-1]
     assert tools.call(world, "docs", query="x").startswith("> Playbook: `docs.md`")
     for kind in tools.Granularity:

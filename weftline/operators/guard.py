@@ -84,6 +84,11 @@ def resolve_placeholders(properties: DataFrame) -> DataFrame:
     return rows.select("key", F.when(T.is_sensitive_key(F.col("key")), F.lit(REDACTED)).otherwise(value).alias("value"))
 
 
+def redacted_count(values: DataFrame) -> DataFrame:
+    """redacted: how many resolved values are masked.  values: key, value."""
+    return values.agg(F.count_if(F.col("value") == REDACTED).alias("redacted"))
+
+
 def valid_patterns(patterns: list[dict]) -> list[dict]:
     """The patterns whose expression compiles; the others are left out with a warning."""
     out = []

@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from weftline import schema
+from weftline.functions import file_routes as R
 from weftline.functions import text as T
 from weftline.sources import javascript, proto, rpc_records
 
@@ -239,6 +240,7 @@ def _by_rules(path: str, text: str, out: Facts, rules: dict) -> None:
 
 
 SCRIPTS = ("typescript", "javascript", "vue", "svelte", "astro")
+_MAY_ROUTE = re.compile(r"(?:^|/)\+[^/]*$|(?:^|/)(?:app|pages|routes|api)/")
 COMPONENTS = ("vue", "svelte", "astro")
 
 
@@ -258,6 +260,12 @@ def _script(path: str, text: str, out: Facts) -> None:
         for k, n in enumerate(out.nodes):
             n["local"] = k
         out.node(stem, "service_class", 1, lines, None)
+    if out.nodes and _MAY_ROUTE.search(path):  # what ``tables`` reads routes from
+        script = javascript.Script(view)
+        for name in javascript.exports(script):
+            out.fact("export", 0, name)
+        for module in script.imports:
+            out.fact("module", 0, module)
     broker, http = javascript.mentions_broker(view), javascript.mentions_http(view)
     api = "trpc" in view or "TRPC" in view or "graphql" in view.lower()
     typed = "Client" in view or "Service" in view or "Grpc" in view or "enum " in view or "const " in view
@@ -328,7 +336,7 @@ def extract_text(path: str, language: str | None, text: str) -> tuple[Facts, boo
 
 
 def extract(files: DataFrame) -> DataFrame:
-    """Fact rows of (path, repo_id, language, text); ``what`` is node, import, producer, consumer, rpc_call or failed."""
+    """Fact rows of (path, repo_id, language, text); ``what`` is node, import, producer, consumer, rpc_call, rpc_record, export, module, file or failed."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         names = [c.split()[0] for c in FACTS.split(", ")]
@@ -338,6 +346,8 @@ def extract(files: DataFrame) -> DataFrame:
                 out, failed = extract_text(path, language, text or "")
                 base = {"path": path, "repo_id": repo, "package": out.package}
                 rows += [base | r for r in (*out.nodes, *out.facts)]
+                if language in SCRIPTS and not failed and _MAY_ROUTE.search(path):
+                    rows.append(base | {"what": "file"})
                 if failed:
                     rows.append(base | {"what": "failed"})
             frame = pd.DataFrame(rows, columns=names, dtype=object)
@@ -354,6 +364,7 @@ def tables(facts: DataFrame) -> dict[str, DataFrame]:
     node_id = F.xxhash64("path", "local").bitwiseAND(F.lit(0x7FFFFFFFFFFFFFFF))
     rows = facts.withColumn("node_id", node_id)
     nodes = rows.where("what = 'node'").select(F.col("node_id").alias("id"), "name", "kind", F.col("path").alias("file_path"), "line_start", "line_end", "package", "repo_id", "signature", "docstring")
+    nodes = nodes.unionByName(placed_routes(rows))
     pick = lambda what: rows.where(F.col("what") == what)
     return {
         "nodes": nodes,
@@ -365,6 +376,23 @@ def tables(facts: DataFrame) -> dict[str, DataFrame]:
     }
 
 
+def placed_routes(rows: DataFrame) -> DataFrame:
+    """Endpoints that files declare by their place and exports (see ``functions.file_routes``)."""
+    files = rows.where("what in ('export', 'module', 'file')").groupBy("path", "repo_id").agg(
+        F.collect_set(F.when(F.col("what") == "export", F.col("target"))).alias("exports"), F.collect_set(F.when(F.col("what") == "module", F.col("target"))).alias("modules"), F.first("package").alias("package"),
+    ).where(R.path_may_route(F.col("path")))
+    page = R.sfc_route(F.col("path"))
+    own = F.when(page.isNotNull(), F.array(F.struct(F.lit("PAGE").alias("method"), page.alias("path")))).otherwise(F.array().cast(f"array<{R.ROUTE}>"))
+    found = F.concat(R.file_routes(F.col("path"), F.col("exports"), F.col("modules")), own)
+    routes = files.select("path", "repo_id", "package", F.explode(found).alias("r")).withColumn("label", F.concat_ws(" ", "r.method", "r.path"))
+    one, none = F.lit(1), F.lit(None).cast("string")
+    node_id = F.xxhash64("path", "label").bitwiseAND(F.lit(0x7FFFFFFFFFFFFFFF))
+    return routes.select(
+        node_id.alias("id"), F.col("label").alias("name"), F.lit("http_endpoint").alias("kind"), F.col("path").alias("file_path"), one.alias("line_start"), one.alias("line_end"),
+        "package", "repo_id", F.col("label").alias("signature"), none.alias("docstring"),
+    )
+
+
 def attribute(sites: DataFrame, nodes: DataFrame) -> DataFrame:
     """Call sites (file_path, line, site) joined to the smallest enclosing declaration: (site, id)."""
     met = sites.join(nodes, "file_path").where(F.col("line").between(F.col("line_start"), F.col("line_end")))

@@ -72,6 +72,12 @@ def is_excluded(rel: Column, patterns: Sequence[str] = EXCLUDED, root: Column |
     return out
 
 
+def path_excluded(path: Column, root: str, patterns: Sequence[str] = EXCLUDED) -> Column:
+    """Whether a path is excluded under a root; null for a path that does not lie below it."""
+    below = F.startswith(path, F.lit(root.rstrip("/") + "/"))
+    return F.when(below, is_excluded(F.substring(path, len(root.rstrip("/")) + 2, 1 << 20), patterns, F.lit(root.rstrip("/"))))
+
+
 def unmatched_patterns(files: DataFrame, patterns: Sequence[str], rel_col: str = "rel") -> DataFrame:
     """pattern, files: those that no file matches.  One pass; a count per pattern."""
     counts = files.agg(*[F.count_if(matches_glob(F.col(rel_col), p)).alias(f"p{k}") for k, p in enumerate(patterns)])

@@ -18,9 +18,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weftline.functions import labels as L
+from weftline.functions import text as T
 from weftline.operators import audit, calls, graph, health, resolve, roots, search, topology, wire
 from weftline.sinks import pages, payload, stores
-from weftline.sources import markdown, outline, projects, proto
+from weftline.sources import markdown, outline, projects, proto, yaml_files
 
 
 class Granularity(Enum):
@@ -107,8 +108,6 @@ def _search(world: World, query: str, scope: str | None = None, offset: int = 0,
 
 def fuzzy_page(files: DataFrame, query: str, scope: str | None, offset: int, limit: int) -> tuple[DataFrame, bool]:
     """(files that mention a text, whether there are more): one row beyond the page is asked for, so the scan may stop early."""
-    from weftline.functions import text as T
-
     rows = files.where(T.contains_ignore_ascii_case(F.col("text"), F.lit(query)))
     if scope not in (None, ".", "*"):
         rows = rows.where(T.under(F.col("file_path"), F.lit(scope)))
@@ -303,6 +302,12 @@ def build_snapshot(files: DataFrame, store: str) -> int:
 
     facts = materialize(extract.extract(files), "facts")
     tables = {k: v for k, v in extract.tables(facts).items() if k in TABLES}
+    specs = materialize(yaml_files.yaml_contracts(files.where("language = 'yaml'")).where("not failed"), "contracts")
+    specs = specs.withColumn("id", F.xxhash64("file_path", "local", "name").bitwiseAND(F.lit(0x7FFFFFFFFFFFFFFF)))
+    none = F.lit(None).cast("string")
+    tables["nodes"] = tables["nodes"].unionByName(specs.select("id", "name", "kind", "file_path", "line_start", "line_end", "package", "repo_id", "signature", none.alias("docstring")))
+    declared = specs.where("topic is not null").select(F.col("id").alias("node_id"), "file_path", T.topic_key(F.col("topic")).alias("topic"), F.lit(False).alias("heuristic"))
+    tables["producers"] = tables["producers"].unionByName(declared)
     edges = graph.derive_edges(graph.Snapshot(**tables))
     docs = files.where("language = 'markdown'").select(F.col("path").alias("file_path"), "text")
     return stores.install_snapshot(tables | {"edges": edges, "sections": markdown.markdown_sections(docs)}, store)

@@ -145,7 +145,7 @@ RULES: dict[str, dict] = {
     "go": {
         "package": r"^\s*package\s+(\w+)", "import": r"^\s*(?:import\s+)?(?:[\w.]+\s+)?\"([\w./-]+)\"\s*$",
         "nodes": [("interface", rf"^type\s+{_IDENT}\s+interface\b"), ("service_class", rf"^type\s+{_IDENT}\s+(?!interface\b)\S+"), ("service_class", rf"^func\s+(?:\([^)]*\)\s*)?{_IDENT}\s*[\[(]"), ("grpc_service", r"\bRegister(?P<name>\w+)Server\s*\(")],
-        "facts": [("rpc_call", r"\.New(\w+)Client\s*\("), ("producer", r"(?:kafka\.Message|kafka\.Writer|WriterConfig|ProducerMessage)\s*\{[^}]*?Topic:\s*(?:\"([^\"]+)\"|(\w+))"), ("consumer", r"ReaderConfig\s*\{[^}]*?Topic:\s*(?:\"([^\"]+)\"|(\w+))")],
+        "facts": [("rpc_call", r"\b(?!(?:redis|http|mongo|s3|sqs|vault|elastic|sql|db|kafka|sarama)\.)\w+\.New(\w+)Client\s*\("), ("producer", r"(?:kafka\.Message|kafka\.Writer|WriterConfig|ProducerMessage)\s*\{[^}]*?Topic:\s*(?:\"([^\"]+)\"|(\w+))"), ("consumer", r"ReaderConfig\s*\{[^}]*?Topic:\s*(?:\"([^\"]+)\"|(\w+))")],
         "routes": [rf"\.\s*(?P<verb>(?i:{VERBS}))\s*\(\s*\"(?P<path>/[^\"]*)\"\s*,"],
     },
     "typescript": {
@@ -171,10 +171,10 @@ RULES: dict[str, dict] = {
         "facts": [("producer", r"\.\s*Produce(?:Async)?\s*\(\s*(?:new\s+TopicPartition\s*\(\s*)?\"([^\"]+)\""), ("consumer", r"\.\s*Subscribe\s*\(\s*\"([^\"]+)\"")],
         "routes": [r"\[Http(?P<verb>Get|Post|Put|Patch|Delete)\s*\(\s*\"(?P<path>[^\"]*)\""],
     },
-    "ruby": {"package": None, "import": r"^\s*require(?:_relative)?\s+['\"]([^'\"]+)['\"]", "nodes": [("service_class", r"^\s*class\s+(?P<name>[A-Z][\w:]*)"), ("interface", r"^\s*module\s+(?P<name>[A-Z][\w:]*)"), ("service_class", r"^\s*def\s+(?P<name>[\w.?!]+)")], "facts": [], "routes": [rf"^\s*(?P<verb>{VERBS})\s+['\"](?P<path>/?[^'\"]+)['\"]"]},
+    "ruby": {"package": None, "import": r"^\s*require(?:_relative)?\s+['\"]([^'\"]+)['\"]", "nodes": [("service_class", r"^\s*class\s+(?P<name>[A-Z][\w:]*)"), ("interface", r"^\s*module\s+(?P<name>[A-Z][\w:]*)"), ("service_class", r"^\s*def\s+(?P<name>[\w.?!]+)")], "facts": [], "routes": [rf"^\s*(?P<verb>{VERBS}|resources)\s+(?:['\"]|:)(?P<path>/?[^'\",\s]+)"]},
     "php": {"package": r"^\s*namespace\s+([\w\\]+)\s*;", "import": r"^\s*use\s+([\w\\]+)", "nodes": [("interface", rf"\binterface\s+{_IDENT}"), ("service_class", rf"^\s*(?:abstract\s+|final\s+)*class\s+{_IDENT}"), ("service_class", rf"\bfunction\s+{_IDENT}\s*\(")], "facts": [], "routes": [r"Route::(?P<verb>get|post|put|patch|delete|any)\s*\(\s*['\"](?P<path>[^'\"]+)['\"]"]},
     "swift": {"package": None, "import": r"^\s*import\s+(\w+)", "nodes": [("interface", rf"\bprotocol\s+{_IDENT}"), ("service_class", rf"\b(?:class|struct|extension)\s+{_IDENT}"), ("service_class", rf"\bfunc\s+{_IDENT}")], "facts": [], "routes": [r"\.\s*(?P<verb>get|post|put|patch|delete)\s*\(\s*\"(?P<path>[^\"]+)\""]},
-    "scala": {"package": r"^\s*package\s+([\w.]+)", "import": r"^\s*import\s+([\w.{}, _]+)", "nodes": [("interface", rf"\btrait\s+{_IDENT}"), ("service_class", rf"\b(?:class|object)\s+{_IDENT}")], "facts": [], "routes": [r"\bpath(?:Prefix)?\s*\(\s*\"(?P<path>[^\"]+)\"\s*\)\s*\{\s*(?P<verb>get|post|put|patch|delete)?"]},
+    "scala": {"package": r"^\s*package\s+([\w.]+)", "import": r"^\s*import\s+([\w.{}, _]+)", "nodes": [("interface", rf"\btrait\s+{_IDENT}"), ("service_class", rf"\b(?:class|object)\s+{_IDENT}")], "facts": [], "routes": []},
     "cpp": {"package": r"\bnamespace\s+([\w:]+)\s*\{", "import": r"^\s*#\s*include\s*[\"<]([^\">]+)[\">]", "nodes": [("grpc_service", rf"\b(?:class|struct)\s+{_IDENT}[^;{{]*:[^;{{]*::Service\b[^;{{]*\{{"), ("service_class", rf"\b(?:class|struct)\s+{_IDENT}(?![^;{{]*::Service)[^;{{()]*\{{")], "facts": [], "routes": []},
 }
 for _alias in ("javascript", "vue", "svelte", "astro"):
@@ -197,6 +197,12 @@ def _block_end(text: str, at: int) -> int:
     return len(text)
 
 
+def _ruby_end(lines: list[str], start: int) -> int:
+    """Line of the ``end`` that stands as far in as the declaration; its own line if there is none."""
+    indent = len(lines[start - 1]) - len(lines[start - 1].lstrip())
+    return next((n for n in range(start + 1, len(lines) + 1) if lines[n - 1].strip() == "end" and len(lines[n - 1]) - len(lines[n - 1].lstrip()) == indent), start)
+
+
 def _by_rules(path: str, text: str, out: Facts, rules: dict) -> None:
     clean = _BLANK.sub(lambda m: re.sub(r"[^\n]", " ", m[0]), text)
     line = lambda offset: clean.count("\n", 0, offset) + 1
@@ -210,17 +216,29 @@ def _by_rules(path: str, text: str, out: Facts, rules: dict) -> None:
             if (name, start) in seen or name in ("if", "for", "while", "switch", "return", "catch", "new", "else"):
                 continue
             seen.add((name, start))
-            out.node(name, kind, start, line(_block_end(clean, m.end("name"))), lines[start - 1].strip())
+            end = _ruby_end(lines, start) if path.endswith((".rb", ".rake")) else line(_block_end(clean, m.end("name")))
+            out.node(name, kind, start, end, lines[start - 1].strip())
+    refine(path, text, clean, out)
     out.nodes.sort(key=lambda n: (n["line_start"], -n["line_end"]))
     for k, n in enumerate(out.nodes):
         n["local"] = k
-    for pattern in rules["routes"]:
+    declared = rules["routes"] if not path.endswith((".rb", ".rake")) or "routes" in path else []
+    for pattern in declared:
         for m in re.finditer(pattern, clean, re.M):
             verb = (m["verb"] or "any").upper()
-            label = f"{verb} /{m['path'].lstrip('/')}"
+            label = f"resources :{m['path']}" if verb == "RESOURCES" else f"{verb} /{m['path'].lstrip('/')}"
             out.node(label, "http_endpoint", line(m.start()), line(m.end()), label)
+    if path.endswith((".scala", ".sc")):
+        for m in re.finditer(r"\bpath(?:Prefix|End)?\s*\(\s*\"([^\"]+)\"[^)]*\)\s*\{", clean):
+            inner = clean[m.end() : _block_end(clean, m.end() - 1)]
+            for verb in dict.fromkeys(re.findall(r"\b(get|post|put|patch|delete)\s*\{", inner)) or ("any",):
+                label = f"{verb.upper()} /{m[1].lstrip('/')}"
+                out.node(label, "http_endpoint", line(m.start()), line(m.start()), label)
     if not out.nodes and clean.strip():
         out.node(path.rsplit("/", 1)[-1].rsplit(".", 1)[0], "module", 1, len(lines))
+    for k, n in enumerate(out.nodes):
+        if topic := n.pop("topic", None):
+            out.fact("consumer", k, topic)
     named = go_constants(clean) if path.endswith(".go") else {}
     for what, pattern in rules["facts"]:
         for m in re.finditer(pattern, clean, re.S):
@@ -318,6 +336,121 @@ def go_constants(clean: str) -> dict[str, str]:
     return out
 
 
+#: Annotations and attributes that make a method an endpoint, and receivers whose clients are no RPC stubs (fixed values).
+JAVA_ROUTES = (
+    "GetMapping", "PostMapping", "PutMapping", "DeleteMapping", "PatchMapping", "RequestMapping", "GET", "POST", "PUT", "DELETE", "PATCH", "Path", "Get", "Post", "Put", "Delete", "Patch",
+)
+KOTLIN_ROUTES = ("GetMapping", "PostMapping", "PutMapping", "DeleteMapping", "RequestMapping")
+GO_OTHER_CLIENTS = ("redis", "http", "mongo", "s3", "sqs", "vault", "elastic", "sql", "db", "kafka", "sarama")
+_HANDLER = re.compile(r"[Hh]andle\w*|\w+Handler")
+
+
+def _head(text_lines: list[str], start: int) -> str:
+    """Annotation, attribute and decorator lines directly above a declaration, and its own line."""
+    first = start - 1
+    while first > 0 and re.match(r"\s*(?:@|#\[|\[\w)", text_lines[first - 1]):
+        first -= 1
+    return "\n".join(text_lines[first:start])
+
+
+def _topic_of(head: str) -> str | None:
+    m = re.search(r"@KafkaListener\s*\(([^)]*)\)", head, re.S)
+    topics = m and re.search(r"topics\s*=\s*[\[{]?\s*\"([^\"]+)\"", m[1])
+    return topics[1] if topics else None
+
+
+def refine(path: str, text: str, clean: str, out: Facts) -> None:
+    """Kinds that a declaration's surroundings decide: services, endpoints, listeners; constructors and destructors go."""
+    ext, lines = path.rsplit(".", 1)[-1], text.split("\n")
+    classes = [n for n in out.nodes if re.search(r"\b(?:class|struct|object|extension|impl|module|record|trait|interface|protocol)\b", n["signature"] or "")]
+
+    def owner(n: dict) -> dict | None:
+        around = [c for c in classes if c is not n and c["line_start"] <= n["line_start"] and n["line_end"] <= c["line_end"]]
+        return min(around, key=lambda c: c["line_end"] - c["line_start"]) if around else None
+
+    def annotated(head: str, names: tuple[str, ...]) -> bool:
+        return bool(re.search(r"@(?:" + "|".join(names) + r")\b", head))
+
+    body = lambda n: "\n".join(lines[max(0, n["line_start"] - 3) : n["line_end"]])
+    served = set()
+    if ext == "go":
+        served = {m[1] for m in re.finditer(r"type\s+(\w+)\s+struct\s*\{[^}]*\bUnimplemented\w+Server\b", clean)} | {m[1] for m in re.finditer(r"Register\w+Server\s*\([^,]+,\s*&?(?:\w+\.)?(\w+)\s*[{)]", clean)}
+    if ext == "rs":
+        for m in re.finditer(r"((?:#\[[^\]]*\]\s*)*)impl(?:<[^>]*>)?\s+(?:\w+::)*(\w+)(?:<[^>]*>)?\s+for\s+(\w+)", clean):
+            if "tonic::async_trait" in m[1] or m[2].endswith(("Server", "Service")):
+                start = clean.count("\n", 0, m.start(2)) + 1
+                out.node(m[2], "grpc_service", start, clean.count("\n", 0, _block_end(clean, m.end())) + 1, lines[start - 1].strip())
+    drop = []
+    for n in out.nodes:
+        if n["kind"] not in ("service_class", "interface"):
+            continue
+        name, own, head = n["name"], owner(n), _head(lines, n["line_start"])
+        first = lines[n["line_start"] - 1]
+        is_class = n in classes
+        if ext == "java":
+            if is_class and n["kind"] == "service_class" and ("@GrpcService" in body(n) or re.search(r"\bextends\s+\S*Grpc\S*ImplBase", first)):
+                n["kind"] = "grpc_service"
+            elif not is_class and own and name == own["name"]:
+                drop.append(n)
+            elif not is_class and (topic := _topic_of(head)):
+                n |= {"kind": "kafka_topic", "name": topic, "topic": topic}
+            elif not is_class and annotated(head, JAVA_ROUTES):
+                n["kind"] = "http_endpoint"
+        elif ext in ("kt", "kts"):
+            if is_class and "@GrpcService" in head:
+                n["kind"] = "grpc_service"
+            elif not is_class and (topic := _topic_of(head)):
+                n |= {"kind": "kafka_topic", "name": topic, "topic": topic}
+            elif not is_class and annotated(head, KOTLIN_ROUTES):
+                n["kind"] = "http_endpoint"
+        elif ext == "cs":
+            if not is_class and re.search(r"\[(?:Http(?:Get|Post|Put|Delete|Patch)|Route)\b", head):
+                n["kind"] = "http_endpoint"
+        elif ext == "go" and first.startswith("func"):
+            receiver = re.match(r"func\s*\(\s*\w*\s*\*?(\w+)", first)
+            if receiver and receiver[1] in served:
+                n["kind"] = "grpc_method"
+            elif re.fullmatch(r"Handle\w*|\w+Handler", name) and re.search(r"ResponseWriter|Request|Context|Ctx", first):
+                n["kind"] = "http_endpoint"
+        elif ext == "rs" and re.search(r"\bfn\b", first):
+            around = [s for s in out.nodes if s["kind"] == "grpc_service" and s["line_start"] < n["line_start"] <= n["line_end"] <= s["line_end"]]
+            if around:
+                n["kind"] = "grpc_method"
+        elif ext in ("rb", "rake") and not is_class:
+            if own and own["name"].endswith("Controller") and name != "initialize" and not name.startswith("_"):
+                n["kind"] = "http_endpoint"
+        elif ext in ("php", "phtml") and re.search(r"\bfunction\b", first):
+            route = re.search(r"#\[Route\(\s*(?:path:\s*)?['\"]([^'\"]+)['\"]", head)
+            if route:
+                n |= {"kind": "http_endpoint", "name": route[1]}
+            elif own and own["name"].endswith("Controller") and name != "__construct":
+                n["kind"] = "http_endpoint"
+        elif ext == "swift" and re.search(r"\bfunc\b", first):
+            if re.fullmatch(r"handle\w*|\w+Handler", name):
+                n["kind"] = "http_endpoint"
+        elif ext in ("cpp", "cc", "cxx", "hpp", "hh", "hxx", "h") and is_class:
+            inner = body(n)
+            pure, others = len(re.findall(r"=\s*0\s*;", inner)), len(re.findall(r"\)\s*(?:const)?\s*(?:override)?\s*(?:\{|;)", inner))
+            if pure and not others:
+                n["kind"] = "interface"
+    if ext in ("cpp", "cc", "cxx", "hpp", "hh", "hxx", "h"):
+        services = {n["name"] for n in out.nodes if n["kind"] == "grpc_service"}
+        for m in re.finditer(r"^[\w:<>&*, \t]+?[\s*&](?:(\w+)::)?(~?\w+)\s*\([^;{}]*\)\s*(?:const|override|noexcept|\s)*\{", clean, re.M):
+            name, start = m[2], clean.count("\n", 0, m.start(2)) + 1
+            if name.startswith("~") or m[1] == name or name in ("if", "for", "while", "switch", "catch", "return"):
+                continue
+            kind = "grpc_method" if m[1] in services else "http_endpoint" if _HANDLER.fullmatch(name) else "service_class"
+            out.node(name, kind, start, clean.count("\n", 0, _block_end(clean, m.end() - 1)) + 1, lines[start - 1].strip())
+    if ext == "cs":
+        for m in re.finditer(r"^\s*((?:\[[^\]\n]*\]\s*)*)(?:public|private|protected|internal|static|async|virtual|override|\s)+[\w<>\[\]?., ]+\s(\w+)\s*\([^;{}]*\)\s*(?:\{|=>)", clean, re.M):
+            start = clean.count("\n", 0, m.start(2)) + 1
+            if any(c["name"] == m[2] for c in classes) or m[2] in ("if", "for", "while", "switch", "catch", "foreach", "using", "lock"):
+                continue
+            route = re.search(r"\[(?:Http(?:Get|Post|Put|Delete|Patch)|Route)\b", _head(lines, start))
+            out.node(m[2], "http_endpoint" if route else "service_class", start, clean.count("\n", 0, _block_end(clean, m.end() - 1)) + 1, lines[start - 1].strip())
+    out.nodes = [n for n in out.nodes if not any(n is d for d in drop)]
+
+
 def extract_text(path: str, language: str | None, text: str) -> tuple[Facts, bool]:
     """(facts, parse_failed) of one file."""
     out = Facts(package_of(path))

@@ -62,6 +62,8 @@ TOP_DOMAINS = (
 )
 CALLING = "1|7|20|27|30|31|32|33|34|36|39|40|41|43|44|45|46|47|48|49|5[1-8]|60|61|62|63|64|65|66|81|82|84|86|9[0-58]|2[1-69][0-9]|3[578][0-9]|42[013]|5[09][0-9]|6[789][0-9]|8[0578][0-9]|9[679][0-9]"
 ISSUERS = "4|5[1-5]|2[2-7]|3[47]|3[068]|6011|64[4-9]|65|35[2-8]|62|50|5[6-9]|6[37]"
+#: Digits of account and payment numbers in use (14 and 15: Diners and American Express, 16: most cards and accounts, 18: CLABE, 19: Maestro).
+ACCOUNT_LENGTHS = (14, 15, 16, 18, 19)
 IBAN_COUNTRIES = "AD|AE|AL|AT|AZ|BA|BE|BG|BH|BR|CH|CR|CY|CZ|DE|DK|DO|EE|EG|ES|FI|FR|GB|GE|GI|GR|HR|HU|IE|IL|IS|IT|JO|KW|KZ|LB|LI|LT|LU|LV|MC|MD|ME|MK|MT|NL|NO|PK|PL|PT|QA|RO|RS|SA|SE|SI|SK|SM|TN|TR|UA|XK"
 NEARBY = {
     "email": "mail|contact|write|reach|kontakt|courriel|correo",
@@ -126,7 +128,7 @@ def _gazetteer(kind: str, v: Column) -> Column:
         "email": v.rlike(rf"(?i)\.(?:{TOP_DOMAINS})$"),
         "ip": ~v.rlike(r"^(?:0|10|127|255|192\.168|169\.254)\."),
         "card": v.rlike(f"^(?:{ISSUERS})"),
-        "account": v.rlike(f"^(?:{ISSUERS})"),
+        "account": F.length(_digits(v)).isin(*ACCOUNT_LENGTHS),
         "phone": v.rlike(rf"^\+(?:{CALLING})"),
         "local_phone": ~v.rlike("^[(]?[2-9]11"),
         "secret": v.rlike("[0-9A-Za-z+/_-]{20}"),

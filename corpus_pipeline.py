@@ -57,10 +57,9 @@ def jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     """
     rows = materialize(op7_jaccard_join.classes(docs, text_key()).where("class is not null").groupBy("class", "id", "key").agg(F.count(F.lit(1)).alias("copies")), "pipeline-classes")
     several = materialize(rows.groupBy("class").agg(F.min(F.struct("id", "key")).alias("kept"), F.sum("copies").alias("c")).where("c > 1").select("class", "kept"), "pipeline-kept")
-    small = several.count() <= op7_jaccard_join.BROADCAST_ROWS
-    members = rows.join(F.broadcast(several) if small else several, "class")
+    members = rows.join(_small(several), "class")
     kept = F.struct("id", "key") == F.col("kept")
-    gone = members.where(~kept).select(F.col("id").alias("__id"), F.col("key").alias("__key"))
+    gone = _small(materialize(members.where(~kept).select(F.col("id").alias("__id"), F.col("key").alias("__key")), "pipeline-gone"))
     keyed = docs.withColumns({"__d": F.col("doc_id"), "__t": text_key()})
     same = F.col("__d").eqNullSafe(F.col("__id")) & (F.col("__t") == F.col("__key"))
     left = keyed.join(gone, same, "left_anti")
@@ -80,7 +79,7 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     """
     keyed = docs.withColumn("__row", F.struct(F.col("doc_id").alias("d"), text_key().alias("t")))
     found = op2_decontaminate.contaminated(keyed, table(spark, sf_dir, "benchmark"), id_col="__row")
-    gone = found.select(F.col("doc_id").alias("__gone")).distinct()
+    gone = _small(materialize(found.select(F.col("doc_id").alias("__gone")).distinct(), "pipeline-contaminated"))
     return keyed.join(gone, F.col("__row") == F.col("__gone"), "left_anti").select(*_columns(docs))
 
 
@@ -89,6 +88,11 @@ def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return op4_mixing.mix(docs, weight=op4_mixing.digits())
 
 
+def _small(keys: DataFrame, most: int = op7_jaccard_join.BROADCAST_ROWS) -> DataFrame:
+    """A written table of keys, broadcast up to ``most`` rows (counted), so texts need not move to meet it."""
+    return F.broadcast(keys) if keys.count() <= most else keys
+
+
 def _columns(docs: DataFrame) -> list[str]:
     return [f"`{c}`" for c in docs.columns]
 

@@ -9,6 +9,7 @@ from tests.test_graph import workspace
 from tests.test_operators import flow, node, nodes, pairs
 from weftline import schema
 from weftline.operators import audit, graph
+from weftline.plans.store import materialize
 from weftline.sinks import pages, payload, stores
 
 
@@ -20,7 +21,7 @@ def world(spark):
     ])
     imports = spark.createDataFrame([(4, "Svc")], schema.IMPORTS)
     s = graph.Snapshot(n, imports, flow(spark, [(1, "/a/u.ts", "users.created", False), (3, "/a/s.ts", "jobs.x", False)]), flow(spark, [(4, "/b/s.ts", "users.*", False), (7, "/b/q.ts", "jobs.*", False)]), spark.createDataFrame([], "node_id long, target string"))
-    return s, graph.derive_edges(s)
+    return s, materialize(graph.derive_edges(s), "edges")
 
 
 def test_wildcards_are_edges(world):
@@ -49,11 +50,12 @@ def test_outermost(spark):
 
 def test_canonical_lines_do_not_know_ids(spark):
     s = workspace(spark)
-    edges = graph.derive_edges(s)
+    edges = materialize(graph.derive_edges(s), "edges")
     lines = graph.canonical_lines(s, edges)
     shift = lambda df, *cols: df.withColumns({c: F.col(c) + 1000 for c in cols})
     moved = graph.Snapshot(shift(s.nodes, "id"), shift(s.imports, "node_id"), shift(s.producers, "node_id"), shift(s.consumers, "node_id"), shift(s.rpc_calls, "node_id"))
-    again = graph.canonical_lines(moved, graph.derive_edges(moved))
+    lines = materialize(lines, "lines")
+    again = materialize(graph.canonical_lines(moved, materialize(graph.derive_edges(moved), "edges")), "lines")
     one, two = (audit.fingerprint(x).first()[0] for x in (lines, again))
     assert one == two and lines.count() == again.count()
     assert audit.fingerprint(graph.canonical_lines(s, edges, lambda p: F.concat(F.lit("0:"), p))).first()[0] != one
@@ -62,7 +64,7 @@ def test_canonical_lines_do_not_know_ids(spark):
 
 def test_matrix_order_and_pages(spark):
     s = workspace(spark)
-    edges = graph.derive_edges(s)
+    edges = materialize(graph.derive_edges(s), "edges")
     rows = [r.asDict() for r in graph.ordered_matrix(graph.impact_matrix(s, edges, "ProcessPayment"), s.nodes).collect()]
     assert [(r["scope"], r["role"], r["id"]) for r in rows] == [("EXTERNAL", "client", 3), ("EXTERNAL", "client", 4), ("INTERNAL", "handler", 2)]
     page = pages.impact_matrix("ProcessPayment", rows, 0, 2, 3)
@@ -91,7 +93,7 @@ def test_plain_pages():
 
 def test_payloads(spark, tmp_path):
     s = workspace(spark)
-    edges = graph.derive_edges(s)
+    edges = materialize(graph.derive_edges(s), "edges")
     data = json.loads(payload.payload(s.nodes, edges, "w", ["proto", "go", "ts"]))
     assert data["total_nodes"] == 6 and [n["file_path"] for n in data["nodes"]] == sorted(n["file_path"] for n in data["nodes"])
     assert all({e["from_id"], e["to_id"]} <= {n["id"] for n in data["nodes"]} for e in data["edges"]) and len(data["edges"]) == 4

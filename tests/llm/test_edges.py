@@ -36,7 +36,7 @@ def bench(spark):
 
 def test_op1(odd, nothing):
     got = by_id(op1.digest(odd))
-    assert len(got) == 10 and got[1]["clean_sha256"] is None and got[6]["n_cut"] == 0
+    assert len(got) == 11 and got[1]["clean_sha256"] is None and got[6]["n_cut"] == 0
     assert op1.digest(nothing).count() == 0
 
 
@@ -64,7 +64,7 @@ def test_op3(spark, odd, nothing):
     grades = spark.createDataFrame([(7, 2), (4, 1), (5, 0), (99, None), (None, 1)], "doc_id long, grade int")
     model = op3.fit_quality(odd, grades, 3)
     got = op3.score_quality(odd, model).collect()
-    assert len(got) == 11 and all(0 <= r["p_top"] <= r["p_any"] <= 1 for r in got)
+    assert len(got) == 13 and all(0 <= r["p_top"] <= r["p_any"] <= 1 for r in got)
     assert op3.score_quality(nothing, op3.fit_quality(nothing, grades, 3)).count() == 0
 
 
@@ -80,7 +80,7 @@ def test_op3_orders_grades():
 
 def test_op4(spark, odd, nothing):
     got = op4.mix(odd).collect()
-    assert len(got) == 11 and sum(r["size"] for r in got if r["doc_id"] == 1) == 0
+    assert len(got) == 13 and sum(r["size"] for r in got if r["doc_id"] == 1) == 0
     assert all(r["taken"] <= 3 * r["size"] for r in got)
     assert op4.mix(nothing).count() == 0
     assert sorted(map(str, op4.mix(odd).collect())) == sorted(map(str, got))
@@ -163,7 +163,7 @@ def test_op6(odd, nothing, spark):
 def test_op7(odd, nothing):
     got = by_id(op7.components(odd))
     assert got[1]["n_shingles"] == got[2]["n_shingles"] == got[3]["n_shingles"] == 0
-    assert got[1]["component_id"] == 1 and got[8]["component_id"] == 7 and got[4]["n_shingles"] == 1
+    assert got[1]["component_id"] == 1 and got[8]["component_id"] == 7 and got[4]["n_shingles"] == 1 and got[12]["component_id"] == 12
     assert op7.components(nothing).count() == 0
 
 
@@ -186,6 +186,16 @@ def test_op7_chains_and_shared_passages(spark):
     assert {i: r["n_shingles"] for i, r in got.items()} == sizes
 
 
+def test_op7_beyond_what_is_broadcast(spark, monkeypatch):
+    """The ways that take over beyond the broadcast bound give the same components."""
+    base = [f"w{k}" for k in range(60)]
+    rows = [(k, " ".join(base[: 60 - k % 4] + [f"end{k % 3}"])) for k in range(12)] + [(50 + k, "a copy of the same few words") for k in range(5)] + [(80, None)]
+    docs = documents(spark, rows)
+    want = sorted(map(str, op7.components(docs).collect()))
+    monkeypatch.setattr(op7, "BROADCAST_ROWS", 0)
+    assert sorted(map(str, op7.components(docs).collect())) == want
+
+
 def clusters_of_sets(rng, count, most):
     pool = rng.integers(0, 1 << 63, 3000, dtype=np.uint64)
     sets = []
@@ -260,9 +270,8 @@ def test_op9(odd, nothing):
 
     path = public_tokenizers.path("byte_bpe_50k.json")
     tok = Tokenizer.from_file(path)
-    got = {r["doc_id"]: r for r in op9.token_counts(odd, path).collect()}
-    for r in odd.collect():
-        assert got[r["doc_id"]]["n_tokens"] == len(tok.encode(r["text"] or "", add_special_tokens=False).ids)
+    got = sorted((r["doc_id"], r["n_bytes"], r["n_tokens"]) for r in op9.token_counts(odd, path).collect())
+    assert got == sorted((r["doc_id"], len((r["text"] or "").encode()), len(tok.encode(r["text"] or "", add_special_tokens=False).ids)) for r in odd.collect())
     assert op9.token_counts(nothing, path).count() == 0
 
 
@@ -284,7 +293,7 @@ def test_op9_pieces_agree_with_the_library():
 
 def test_op10(odd, nothing, spark):
     got = by_id(op10.digest(odd))
-    assert len(got) == 10 and got[1]["n_chars"] == 0 and got[7]["fingerprint"] == got[8]["fingerprint"]
+    assert len(got) == 11 and got[1]["n_chars"] == 0 and got[7]["fingerprint"] == got[8]["fingerprint"]
     assert op10.digest(nothing).count() == 0
     one = op10.digest(documents(spark, [(5, "abcdef")])).first()
     assert one["edited_sha256"] == hashlib.sha256(b"abcdab").hexdigest() and one["near_next"] == 1.0

@@ -101,6 +101,15 @@ def test_one_row_of_each_class_stays(spark, tmp_path):
     assert sorted(r["doc_id"] for r in out.collect()) == [1, 4, 4]
 
 
+def test_stages_beyond_what_is_broadcast(spark, given, monkeypatch):
+    docs, folder = given
+    stages = dict(corpus_pipeline.STAGES)
+    keep = lambda: [sorted(map(str, stages[n](spark, docs, folder).collect())) for n in ("jaccard_join", "decontamination")]
+    want = keep()
+    monkeypatch.setattr(corpus_pipeline, "_small", lambda keys: keys)
+    assert keep() == want
+
+
 def test_an_empty_table_passes(spark, given):
     _, folder = given
     docs = spark.createDataFrame([], SCHEMA)

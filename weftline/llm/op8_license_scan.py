@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 SHINGLE, PERMUTATIONS, CONTAINED = 5, 32, 0.75
 ANCHOR = "licen[sc]|copyright|warrant|permission|sublicen|unlicen|rights"
 #: Anchors of full texts, of which more than 75 % of the shingles can be without one of the above.
-TEXT_ANCHOR = ANCHOR + "|software|distribut|liab|convey|library"
+TEXT_ANCHOR = ANCHOR + "|software|distribut|liab|convey|library|modif|document|package|affirmer"
 #: License notices (fixed values, public texts).
 TEMPLATES = {
     "apache-2.0": "Licensed under the Apache License, Version 2.0.",
@@ -51,7 +51,10 @@ TEMPLATES = {
     "all-rights-reserved": "All rights reserved.",
 }
 #: Licenses with a full text in ``licenses/``.
-TEXTS = ("apache-2.0", "bsd-2-clause", "bsd-3-clause", "gpl-2.0", "gpl-3.0", "isc", "lgpl-2.1", "lgpl-3.0", "mit", "mpl-2.0")
+TEXTS = (
+    "0bsd", "apache-2.0", "artistic-1.0", "bsd-2-clause", "bsd-3-clause", "bsl-1.0", "cc0-1.0", "gfdl-1.2", "gfdl-1.3", "gpl-1.0", "gpl-2.0", "gpl-3.0", "isc",
+    "lgpl-2.0", "lgpl-2.1", "lgpl-3.0", "mit", "mpl-1.1", "mpl-2.0", "unlicense", "wtfpl", "zlib",
+)
 
 
 def full_texts() -> dict[str, str]:

@@ -19,7 +19,7 @@ K = "p_partkey"
 
 
 def _part(spark: SparkSession, sf: str) -> DataFrame:
-    return P.read(spark, sf, "part")
+    return P.spread(spark, sf, "part", K)
 
 
 def _text(*pieces) -> Column:

@@ -7,7 +7,7 @@ from weftline import catalog
 from weftline.plans import projections as P
 
 
-@pytest.mark.parametrize("name", ["script_events", "script_routes", "yaml_properties", "python_facts", "proto_nodes"])
+@pytest.mark.parametrize("name", ["script_events", "script_routes", "yaml_properties", "python_facts", "proto_nodes", "file_routes"])
 def test_rows_are_dealt_over_tasks(spark, monkeypatch, name):
     monkeypatch.setattr(P, "ROWS_PER_TASK", 20)
     df = catalog.queries()[name](spark, f"{DATA}/sf0.001")

@@ -21,16 +21,21 @@ _SECTIONS = "sec AS (SELECT 'c' || conv_id AS file_path, array_to_string(string_
        SELECT doc_id, n::BIGINT AS n, min(pos)::INTEGER AS start_line, max(pos)::INTEGER AS end_line, count(*)::BIGINT AS lines, sum(strlen(line))::BIGINT AS bytes FROM m GROUP BY 1, 2""",
 )
 def doc_sections(spark: SparkSession, sf: str) -> DataFrame:
-    """Five-line sections of documents, which have no headings: every fifth line is marked as one and parsed."""
-    d = P.read(spark, sf, "documents").select(F.col("doc_id").cast("string").alias("file_path"), F.split("text", "\n").alias("lines"))
-    marked = F.transform("lines", lambda x, i: F.when(i % 5 == 0, F.concat(F.lit("# h\n"), x)).otherwise(x))
+    """Five-line sections of documents: every fifth line is marked with a heading and parsed.  Lines go between two
+    signs, so none is a heading itself, none is empty at the end and a carriage return stays.  Texts of one id are
+    parsed apart and counted together."""
+    d = P.read(spark, sf, "documents").select(F.concat_ws("/", F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.monotonically_increasing_id()).alias("file_path"), F.split("text", "\n").alias("lines"))
+    fenced = lambda x: F.concat(F.lit("|"), x, F.lit("|"))
+    marked = F.transform("lines", lambda x, i: F.when(i % 5 == 0, F.concat(F.lit("# h\n"), fenced(x))).otherwise(fenced(x)))
     texts = d.select("file_path", F.array_join(marked, "\n").alias("text"))
     s = files.doc_sections(texts)
     body = F.regexp_replace("content", "^# h\n", "")
     n = F.floor(F.col("start_line") / 6)
     lines = F.size(F.split(body, "\n")).cast("long")
-    rows = s.where("level > 0").select(F.col("file_path").cast("long").alias("doc_id"), n.cast("long").alias("n"), lines.alias("lines"), (F.octet_length(body) - lines + 1).cast("long").alias("bytes"))
-    return rows.select("doc_id", "n", (F.col("n") * 5 + 1).cast("int").alias("start_line"), (F.col("n") * 5 + F.col("lines")).cast("int").alias("end_line"), "lines", "bytes")
+    rows = s.where("level > 0").select(F.substring_index("file_path", "/", 1).try_cast("long").alias("doc_id"), n.cast("long").alias("n"), lines.alias("lines"), (F.octet_length(body) - 3 * lines + 1).cast("long").alias("bytes"))
+    start = F.col("n") * 5 + 1
+    together = rows.groupBy("doc_id", "n").agg(F.max("lines").alias("longest"), F.sum("lines").alias("lines"), F.sum("bytes").alias("bytes"))
+    return together.select("doc_id", "n", start.cast("int").alias("start_line"), (start + F.col("longest") - 1).cast("int").alias("end_line"), "lines", "bytes")
 
 
 @register(

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from weftline import schema
 from weftline.functions import text as T
 from weftline.operators import resolve, search, topology
 from weftline.plans import projections as P
@@ -29,10 +30,6 @@ def edges(spark: SparkSession, sf: str) -> DataFrame:
     return resolve.resolve_imports(P.import_facts(spark, sf), nodes)
 
 
-def import_edges(spark: SparkSession, sf: str) -> DataFrame:
-    return edges(spark, sf).select(F.col("node_id").alias("from_id"), "to_id", F.lit("imports").alias("kind"), F.col("target").alias("metadata"), "confidence")
-
-
 @register("import_resolve", f"WITH {EDGES_SQL} SELECT node_id, target, to_id, confidence FROM edg")
 def import_resolve(spark: SparkSession, sf: str) -> DataFrame:
     return edges(spark, sf)
@@ -45,10 +42,13 @@ def import_resolve(spark: SparkSession, sf: str) -> DataFrame:
         SELECT node_id, target, to_id, 'exact' AS confidence FROM e""",
 )
 def import_resolve_by_package(spark: SparkSession, sf: str) -> DataFrame:
-    parts, suppliers = P.part_nodes(spark, sf), P.supplier_nodes(spark, sf)
-    own = suppliers.select(F.col("id").alias("node_id"), (F.col("id") - P.SUPPLIER_BASE).alias("p"))
-    facts = own.join(parts, F.col("p") == F.col("id")).select("node_id", F.concat_ws(".", "package", "name").alias("target"))
-    return resolve.resolve_imports(facts, parts.unionByName(suppliers))
+    return resolve.resolve_imports(_qualified(spark, sf), P.part_nodes(spark, sf).unionByName(P.supplier_nodes(spark, sf)))
+
+
+def _qualified(spark: SparkSession, sf: str) -> DataFrame:
+    """Every supplier imports a part by package and name."""
+    own = P.supplier_nodes(spark, sf).select(F.col("id").alias("node_id"), (F.col("id") - P.SUPPLIER_BASE).alias("p"))
+    return own.join(P.part_nodes(spark, sf), F.col("p") == F.col("id")).select("node_id", F.concat_ws(".", "package", "name").alias("target"))
 
 
 def _target(spark: SparkSession, sf: str) -> str:
@@ -143,8 +143,10 @@ _TOPO = EDGES_SQL + """, grp AS (SELECT id, repo_id::VARCHAR AS grp FROM pn UNIO
 
 def _topology(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     nodes = P.part_nodes(spark, sf).unionByName(P.supplier_nodes(spark, sf))
-    called = import_resolve_by_package(spark, sf).select(F.col("node_id").alias("from_id"), "to_id", F.lit("calls_rpc").alias("kind"), F.col("target").alias("metadata"), "confidence")
-    return topology.build(import_edges(spark, sf).unionByName(called), nodes.select("id", F.col("repo_id").cast("string").alias("grp")))
+    imported = (*resolve.import_classes(P.import_facts(spark, sf), nodes), "imports")
+    called = (*resolve.import_classes(_qualified(spark, sf), nodes), "calls_rpc")
+    none = spark.createDataFrame([], schema.EDGES)
+    return topology.build(none, nodes.select("id", F.col("repo_id").cast("string").alias("grp")), [imported, called])
 
 
 @register("topology_links", f"WITH {_TOPO} SELECT * FROM li")

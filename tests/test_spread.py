@@ -1,10 +1,13 @@
 """Small tables that mean much work are dealt over many tasks, and every file is read once."""
 
+from functools import cache
+
 import pytest
 
 from tests.conftest import DATA
 from weftline import catalog
 from weftline.plans import projections as P
+from weftline.sources import yaml_files
 
 
 @pytest.mark.parametrize("name", ["script_events", "script_routes", "yaml_properties", "python_facts", "proto_nodes", "file_routes"])
@@ -12,3 +15,21 @@ def test_rows_are_dealt_over_tasks(spark, monkeypatch, name):
     monkeypatch.setattr(P, "ROWS_PER_TASK", 20)
     df = catalog.queries()[name](spark, f"{DATA}/sf0.001")
     assert max(df.rdd.getNumPartitions(), len(df.inputFiles())) >= 8  # 200 parts
+
+
+def test_scalar_kinds_are_told_by_one_resolver(monkeypatch):
+    yaml = pytest.importorskip("yaml")
+    built, plain = [], yaml.SafeLoader
+
+    class Counted(plain):
+        def __init__(self, *a):
+            built.append(a)
+            super().__init__(*a)
+
+    monkeypatch.setattr(yaml, "SafeLoader", Counted)
+    getattr(yaml_files, "_resolver", cache(int)).cache_clear()
+    text = "".join(f"k{i}: {v}\n" for i, v in enumerate(["true", "TRUE", "~", "", "12", "1.5", "'~'", "2001-01-01", "no", "x"] * 5))
+    got = yaml_files.properties(text)
+    getattr(yaml_files, "_resolver", cache(int)).cache_clear()
+    assert got == [(f"k{i}", v) for i, v in enumerate(["true", "true", None, None, "12", "1.5", "~", "2001-01-01", "no", "x"] * 5) if v is not None]
+    assert len(built) <= 2  # not one for each scalar

@@ -7,7 +7,7 @@ import pytest
 from tests.conftest import DATA
 from weftline import catalog
 from weftline.plans import projections as P
-from weftline.sources import yaml_files
+from weftline.sources import javascript, yaml_files
 
 
 @pytest.mark.parametrize("name", ["script_events", "script_routes", "yaml_properties", "python_facts", "proto_nodes", "file_routes"])
@@ -33,3 +33,11 @@ def test_scalar_kinds_are_told_by_one_resolver(monkeypatch):
     getattr(yaml_files, "_resolver", cache(int)).cache_clear()
     assert got == [(f"k{i}", v) for i, v in enumerate(["true", "true", None, None, "12", "1.5", "~", "2001-01-01", "no", "x"] * 5) if v is not None]
     assert len(built) <= 2  # not one for each scalar
+
+
+def test_token_tests_do_not_count_tokens(monkeypatch):
+    calls = []
+    monkeypatch.setattr(javascript.Script, "__len__", lambda s: calls.append(1) or len(s.value))
+    script = javascript.Script("import express from 'express';\nconst app = express();\n" + "app.get('/a', f);\n" * 50)
+    assert [r["path"] for r in javascript.routes(script)] == ["/a"]
+    assert not script.is_id(len(script.value)) and not script.is_op(-1, ";") and len(calls) < len(script.value)

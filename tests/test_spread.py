@@ -7,7 +7,7 @@ import pytest
 from tests.conftest import DATA
 from weftline import catalog
 from weftline.plans import projections as P
-from weftline.sources import javascript, yaml_files
+from weftline.sources import extract, javascript, yaml_files
 
 
 @pytest.mark.parametrize("name", ["script_events", "script_routes", "yaml_properties", "python_facts", "proto_nodes", "file_routes"])
@@ -41,3 +41,12 @@ def test_token_tests_do_not_count_tokens(monkeypatch):
     script = javascript.Script("import express from 'express';\nconst app = express();\n" + "app.get('/a', f);\n" * 50)
     assert [r["path"] for r in javascript.routes(script)] == ["/a"]
     assert not script.is_id(len(script.value)) and not script.is_op(-1, ";") and len(calls) < len(script.value)
+
+
+def test_facts_are_built_without_pandas(spark):
+    text = "@shared_task\ndef job():\n    pass\n"
+    files = spark.createDataFrame([("/a.py", None, "python", text), ("/b.py", 3, "python", text), ("/c.py", 4, "python", "def (")], "path string, repo_id int, language string, text string").coalesce(1)
+    facts = extract.extract(files)
+    assert "MapInArrow" in facts._jdf.queryExecution().executedPlan().toString()
+    got = sorted(map(tuple, facts.where("what in ('consumer', 'failed')").select("path", "repo_id", "what", "target", "heuristic").collect()))
+    assert got == [("/a.py", None, "consumer", "job", False), ("/b.py", 3, "consumer", "job", False), ("/c.py", 4, "failed", None, None)]

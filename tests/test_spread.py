@@ -7,7 +7,7 @@ import pytest
 from tests.conftest import DATA
 from weftline import catalog
 from weftline.plans import projections as P
-from weftline.sources import extract, javascript, yaml_files
+from weftline.sources import extract, javascript, proto, yaml_files
 
 
 @pytest.mark.parametrize("name", ["script_events", "script_routes", "yaml_properties", "python_facts", "proto_nodes", "file_routes"])
@@ -50,3 +50,18 @@ def test_facts_are_built_without_pandas(spark):
     assert "MapInArrow" in facts._jdf.queryExecution().executedPlan().toString()
     got = sorted(map(tuple, facts.where("what in ('consumer', 'failed')").select("path", "repo_id", "what", "target", "heuristic").collect()))
     assert got == [("/a.py", None, "consumer", "job", False), ("/b.py", 3, "consumer", "job", False), ("/c.py", 4, "failed", None, None)]
+
+
+def test_lines_of_protobuf_are_counted_once():
+    calls = []
+
+    class Counted(str):
+        def count(self, *a):
+            calls.append(a)
+            return str.count(self, *a)
+
+    text = Counted("/* a\nb */ package p;\n\n" + "message M {\r\n  string s = 1 [default = 'x\\\ny'];\n  int32 t = 2;\n}\n" * 50)
+    p = proto.parse(text)
+    assert [(f["name"], f["line"]) for f in p.fields] == [(n, 5 + 5 * i + at) for i in range(50) for n, at in (("s", 0), ("t", 2))]
+    assert [(n["line_start"], n["line_end"]) for n in p.nodes] == [(4 + 5 * i, 8 + 5 * i) for i in range(50)]
+    assert not calls  # not once for each token

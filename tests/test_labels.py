@@ -120,3 +120,10 @@ def test_file_routes(spark):
     rows = [(p, list(e), list(m)) for p, e, m in cases]
     got = apply(spark, lambda p, e, m: F.transform(R.file_routes(p, e, m), lambda x: F.concat_ws(" ", x["method"], x["path"])), rows, S, "array<string>", "array<string>")
     assert got == list(cases.values())
+
+
+def test_file_routes_work_the_path_out_once(spark):
+    df = spark.createDataFrame([("app/routes/u.$id.tsx", ["loader"], ["react-router"])], "p string, e array<string>, m array<string>")
+    got = df.select(R.file_routes(F.concat(F.lit("marked/"), "p"), F.col("e"), F.col("m")).alias("r"))
+    assert [(r["method"], r["path"]) for r in got.first()["r"]] == [("GET", "/u/:id")]
+    assert got._jdf.queryExecution().optimizedPlan().toString().count("marked/") == 1

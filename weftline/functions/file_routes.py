@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -104,6 +106,11 @@ def references(imports: Column, *libraries: str) -> Column:
     return F.exists(imports, wanted)
 
 
+def bound(body: Callable[[Column], Column], **values: Column) -> Column:
+    """``body`` of a struct of values, each worked out once a row; a Column used twice is written out (and worked out) twice."""
+    return F.get(F.transform(F.array(F.struct(*[v.alias(n) for n, v in values.items()])), body), F.lit(0))
+
+
 def _facts(methods: Column, route: Column) -> Column:
     return F.transform(methods, lambda m: F.struct(m.alias("method"), route.alias("path")))
 
@@ -114,13 +121,31 @@ def file_routes(path: Column, exports: Column, imports: Column) -> Column:
     exports: names a module exports (``default`` for a default export, ``default@callee`` where that is a
     call); imports: modules it names.
     """
-    stem, ext = _stem(path)
+
+    def places(b: Column) -> Column:
+        stem, ext = _stem(b["path"])
+        folders = {"kit": "src/routes", "app": "app", "pages": "pages", "site": "src/pages", "api": "server/api", "routes": "server/routes", "remix": "app/routes"}
+        verbs = F.filter(F.array(*[F.lit(v) for v in VERBS]), lambda v: F.array_contains(b["exports"], v))
+        return bound(lambda p: _flat(p, b["exports"], b["imports"]), stem=stem, ext=ext, verbs=verbs, **{n: _after(b["path"], f) for n, f in folders.items()})
+
+    return bound(places, path=path, exports=exports, imports=imports)
+
+
+def _flat(p: Column, exports: Column, imports: Column) -> Column:
+    """``_routes`` with the route of a flat-route file."""
+    remix, stem = p["remix"], p["stem"]
+    layout = lambda s: F.regexp_extract(s, r"([^.]*)$", 1).rlike("^_") & (F.regexp_extract(s, r"([^.]*)$", 1) != "_index")
+    folder = F.get(remix, F.lit(0))
+    flat = F.when((F.size(remix) == 0) & ~layout(stem), remix_route(stem)).when((F.size(remix) == 1) & stem.isin("route", "index") & ~layout(folder), remix_route(folder))
+    return bound(lambda f: _routes(p, f["flat"], exports, imports), flat=flat)
+
+
+def _routes(p: Column, flat: Column, exports: Column, imports: Column) -> Column:
+    stem, ext, verbs = p["stem"], p["ext"], p["verbs"]
     has = lambda name: F.array_contains(exports, name)
-    verbs = F.filter(F.array(*[F.lit(v) for v in VERBS]), lambda v: F.array_contains(exports, v))
     none = F.array().cast(f"array<{ROUTE}>")
     one = lambda method, route: F.array(F.struct(F.lit(method).alias("method") if isinstance(method, str) else method.alias("method"), route.alias("path")))
-    kit, app, pages = _after(path, "src/routes"), _after(path, "app"), _after(path, "pages")
-    api, routes, remix = _after(path, "server/api"), _after(path, "server/routes"), _after(path, "app/routes")
+    kit, app, pages, api, routes, remix = [p[n] for n in ("kit", "app", "pages", "api", "routes", "remix")]
 
     svelte = F.when(stem == "+server", _facts(verbs, route_of(kit))).when(stem.isin("+page", "+page.server") & has("actions"), one("POST", route_of(kit))).otherwise(none)
     shown = app.isNotNull() & ~F.exists(app, lambda d: F.startswith(d, F.lit("_")))
@@ -133,15 +158,12 @@ def file_routes(path: Column, exports: Column, imports: Column) -> Column:
     method = F.when(pinned, F.upper(F.regexp_extract(stem, r"\.([^.]*)$", 1))).otherwise(F.lit("ALL"))
     nitro = lambda parts: one(method, route_of(_leaf(parts, name)))
 
-    layout = lambda s: F.regexp_extract(s, r"([^.]*)$", 1).rlike("^_") & (F.regexp_extract(s, r"([^.]*)$", 1) != "_index")
-    folder = F.get(remix, F.lit(0))
-    flat = F.when((F.size(remix) == 0) & ~layout(stem), remix_route(stem)).when((F.size(remix) == 1) & stem.isin("route", "index") & ~layout(folder), remix_route(folder))
     remix_facts = F.concat(
         F.when(has("loader"), one("GET", flat)).otherwise(none), F.when(has("action"), one("POST", flat)).otherwise(none), F.when(has("default"), one("PAGE", flat)).otherwise(none),
     )
     is_remix = remix.isNotNull() & references(imports, "@remix-run/", "react-router", "@react-router/") & flat.isNotNull() & (F.size(remix_facts) > 0)
 
-    astro_parts = F.coalesce(_after(path, "src/pages"), pages)
+    astro_parts = F.coalesce(p["site"], pages)
     is_astro = pages.isNotNull() & (F.size(verbs) > 0) & references(imports, "astro")
     is_pages = pages.isNotNull() & has("default") & references(imports, "next") & ~F.startswith(stem, F.lit("_")) & (stem != "middleware")
     pages_method = F.when(F.get(pages, F.lit(0)) == "api", "ALL").otherwise("PAGE")
